@@ -1 +1,63 @@
-STAGES = []
+"""Raw documents to training sequences: language, exact copies, near copies, benchmark passages, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumeworks.llm import decontamination, exact_dedup, language_id, near_dedup, packing
+from plumeworks.llm.queries import table, tokenizer_path
+from plumeworks.llm.shared import saved
+
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone."""
+    return docs.join(gone.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*DOCUMENT)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language. A text that is null or has no letter has none and goes; lang stays as it came."""
+    rest = tuple(c for c in DOCUMENT if c != "doc_id")
+    return language_id.identify(docs, carry=rest).filter("lang_pred <> 'und'").select(*DOCUMENT)
+
+
+def one_of_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts. Of rows that repeat both id and text, all stay or go together."""
+    return without(docs, exact_dedup.exact_groups(docs).filter("not kept"))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of documents that share four fifths of their five-word shingles."""
+    return without(docs, near_dedup.near_groups(docs, shingle=5, percent=80).filter("not kept"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return without(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer=tokenizer_path())
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", one_of_exact_copies),
+    ("near_dedup", one_of_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: SQL can't express the kernel classifier of the first stage.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
