@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, pitman_yor
+from . import decontamination, exact_dedup, html_text, language_id, near_dedup, packing, personal_data, pitman_yor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,3 +102,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_personal_data"] = op7_personal_data
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op8_html_text"] = op8_html_text
