@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_text, language_id, near_dedup, packing, personal_data, pitman_yor
+from . import decontamination, exact_dedup, html_text, language_id, near_dedup, packing, passages, personal_data, pitman_yor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,3 +109,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_html_text"] = op8_html_text
+
+
+def op9_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_shared_passages"] = op9_shared_passages
