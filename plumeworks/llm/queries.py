@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_text, language_id, near_dedup, packing, passages, personal_data, pitman_yor
+from . import decontamination, exact_dedup, html_text, language_id, near_dedup, packing, passages, personal_data, pitman_yor, tool_calls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,3 +116,15 @@ def op9_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_shared_passages"] = op9_shared_passages
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op2_tool_calls"] = op2_tool_calls
+#: The tables hold no tool calls, so that all their rows are plain messages; calls are tested on a fixture.
+ORACLES["op2_tool_calls"] = """
+SELECT conv_id, turn, 0 AS part, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::VARCHAR AS name, NULL::BOOLEAN AS linked,
+  NULL::BOOLEAN AS valid, NULL::VARCHAR AS errors, 0 AS level, '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS json
+FROM conversations"""
