@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; the arrays take some 50 times as much.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
