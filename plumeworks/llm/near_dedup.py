@@ -18,9 +18,8 @@ from .textnum import SPACE_WORDS, U64, Words, gram_hashes, mix, slices
 MISS = 1e-6
 #: Hash functions at most; the bands get as many rows as this allows.
 MAX_HASHES = 360
-#: Buckets of up to so many members are compared whole in the second round; larger ones by pivots.
-SMALL_BUCKET = 24
-PIVOTS = 8
+#: Members of a bucket beside its main component that are all compared in one round; of more, PIVOTS are taken in each round.
+FEW = PIVOTS = 256
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -178,8 +177,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Documents with the same shingle set are one class. Classes that share a band
     of minima are candidates. First each bucket's members are compared with
     one pivot. Then, where a bucket still has members in different components,
-    small buckets are compared across components, and large ones pivot by pivot until
-    no two components are left that were not compared. Candidates pass a
+    those outside its largest are compared with all the others, a few at a time,
+    until no two components are left that were not compared. Candidates pass a
     signature estimate and are confirmed on whole sets. A band is shared at the
     threshold except with a chance of MISS.
     """
@@ -190,9 +189,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     signs = saved(signed(docs, id_col, text_col, shingle, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     groups = signs.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("cid"), F.min("id").alias("least_id"))
     classes = saved(groups, "classes")
-    heads = signs.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cid"), "n_shingles", "set_a", "set_b", "sig", "bands")
+    heads = saved(signs.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cid"), "n_shingles", "set_a", "set_b", "sig", "bands"), "heads")
     rows_of = heads.select(F.explode("bands").alias("key"), "cid", F.col("n_shingles").cast("int").alias("n"))
-    shared = rows_of.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("pivot"), F.max("cid").alias("top")).filter("pivot < top").select("key", "members", "pivot")
+    shared = heads.select(F.explode("bands").alias("key"), "cid").groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("pivot"), F.max("cid").alias("top")).filter("pivot < top").select("key", "members", "pivot")
     buckets = saved(rows_of.join(shared, "key"), "buckets")
     inside = buckets.select("cid").distinct()
     sigs = saved(heads.join(inside, "cid", "left_semi").select("cid", "n_shingles", "set_a", "set_b", "sig"), "bucket-signatures")
@@ -212,24 +211,28 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pairs = buckets.filter("cid <> pivot").groupBy("pivot", "cid").agg(F.min("n").alias("n")).join(sizes, "pivot")
     links = verified(pairs.select(F.col("pivot").alias("a"), F.col("cid").alias("b"), F.col("n_pivot").alias("n_a"), F.col("n").alias("n_b")))
     rest = buckets.filter("cid <> pivot").select("key", "cid", "n")
+    parts = components(links)
     while True:
-        parts = components(links)
         marked = rest.join(parts, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("label"))
-        mixed = marked.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "members")
-        left = saved(marked.join(mixed, "key"), "mixed-buckets")
+        by_label = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
+        main = by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("labels")).filter("labels > 1")
+        main = main.select("key", F.col("main.label").alias("main"), (F.col("members") - F.col("main.c")).alias("outside"))
+        left = saved(marked.join(main, "key"), "mixed-buckets")
         if left.isEmpty():
             break
+        # Outsiders are not in the bucket's main component. Few are all compared with the others; of many, some are taken in each round.
+        outsiders = left.filter("label <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "outside", F.expr(f"pmod(xxhash64(cid, 1), {PIVOTS})").alias("slot"))
+        first = F.min(F.struct(F.xxhash64("a").alias("order"), "a", "n_a", "label_a")).alias("p")
+        pivots = outsiders.filter(f"outside > {FEW}").groupBy("key", "slot").agg(first).select("key", "p.a", "p.n_a", "p.label_a")
+        tried = saved(outsiders.filter(f"outside <= {FEW}").select("key", "a", "n_a", "label_a").union(pivots), "pivots")
         other = left.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        small = left.filter(f"members <= {SMALL_BUCKET}").select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        across = small.join(other, "key").filter("a < b and label_a <> label_b")
-        large = left.filter(f"members > {SMALL_BUCKET}")
-        best = F.min(F.struct(F.xxhash64("cid").alias("order"), "cid", "n", "label")).alias("p")
-        pivots = large.groupBy("key", F.expr(f"pmod(xxhash64(cid, 1), {PIVOTS})").alias("slot")).agg(best).select("key", F.col("p.cid").alias("a"), F.col("p.n").alias("n_a"), F.col("p.label").alias("label_a"))
-        pivots = saved(pivots, "pivots")
-        tried = pivots.join(other, "key").filter("a <> b and label_a <> label_b")
-        links = saved(links.union(verified(across.select("a", "b", "n_a", "n_b").union(tried.select("a", "b", "n_a", "n_b")))), "all-links")
+        size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        new = verified(tried.join(other, "key").filter(f"a <> b and label_a <> label_b and {size}").select("a", "b", "n_a", "n_b"))
+        if not new.isEmpty():
+            links = saved(links.union(new), "all-links")
+            parts = components(links)
         # What was compared with all others of its bucket is done.
-        rest = large.join(pivots.select("key", F.col("a").alias("cid")), ["key", "cid"], "left_anti").select("key", "cid", "n")
+        rest = left.filter(f"outside > {FEW}").join(tried.select("key", F.col("a").alias("cid")), ["key", "cid"], "left_anti").select("key", "cid", "n")
     labelled = classes.join(parts, F.col("cid") == F.col("node"), "left").select("set_a", "set_b", "least_id", F.coalesce("component", "cid").alias("label"))
     named = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = saved(labelled.join(named, "label").select("set_a", "set_b", "component_id"), "named")

@@ -1,0 +1,67 @@
+"""A Spark data source for paged JSON over HTTP, one partition for each query."""
+
+from __future__ import annotations
+
+import json
+import time
+import urllib.error
+import urllib.request
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+RETRY_STATUS = frozenset((408, 429))
+
+
+def fetched(url: str, tries: int, opener=urllib.request.urlopen, sleep=time.sleep) -> bytes:
+    """The body of a URL. 408, 429 and 5xx are tried again, after Retry-After seconds if these are given."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            with opener(url) as r:
+                return r.read()
+        except urllib.error.HTTPError as e:
+            if not left or not (e.code in RETRY_STATUS or e.code >= 500):
+                raise
+            wait = (e.headers or {}).get("Retry-After", "")
+            sleep(float(wait) if wait.isdigit() else 2.0 ** (tries - 1 - left))
+        except urllib.error.URLError:
+            if not left:
+                raise
+            sleep(2.0 ** (tries - 1 - left))
+    raise AssertionError
+
+
+class JsonPages(DataSource):
+    """`spark.read.format("json_pages")` with options url (with {query}, {page} and {size}), queries (a JSON list), size, tries. Rows: query, page, record (JSON text).
+
+    A payload is a list, or an object with `items`; a page shorter than size is the query's last.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "json_pages"
+
+    def schema(self) -> str:
+        return "query string, page int, record string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PagesReader(self.options)
+
+
+class PagesReader(DataSourceReader):
+    def __init__(self, options):
+        self.url, self.queries = options["url"], json.loads(options["queries"])
+        self.size, self.tries = int(options.get("size", 500)), int(options.get("tries", 4))
+
+    def partitions(self):
+        return [InputPartition(q) for q in self.queries]
+
+    def read(self, partition):
+        page = 1
+        while True:
+            body = json.loads(fetched(self.url.format(query=partition.value, page=page, size=self.size), self.tries))
+            rows = body["items"] if isinstance(body, dict) else body
+            for row in rows:
+                yield str(partition.value), page, json.dumps(row)
+            if len(rows) < self.size:
+                return
+            page += 1

@@ -1,0 +1 @@
+"""The incremental forms of the batch operators."""
