@@ -20,6 +20,10 @@ MISS = 1e-6
 MAX_HASHES = 360
 #: Members of a bucket beside its main component that are all compared in one round; of more, PIVOTS are taken in each round.
 FEW = PIVOTS = 256
+#: Members of a bucket's main component that each round of trials takes, and the share of outsiders that a round may leave for another to follow.
+LEADERS, PROGRESS = 2, 0.8
+#: Outsiders that have a rare shingle, at most.
+RARE = 64
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -165,6 +169,49 @@ def linked(percent: int):
     return run
 
 
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b): only the components that these tie are run through again."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end, "left")
+    more = saved(components(ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))), "more-parts")
+    moved = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = parts.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return saved(known.union(more.join(parts.select("node"), "node", "left_anti").select("node", "component")), "parts")
+
+
+def postings(sets: DataFrame, sieve=None) -> DataFrame:
+    """Rows (cid, h) of each class's shingles, with a sieve those that it lets through."""
+
+    def run(batches):
+        bits = None if sieve is None else np.frombuffer(sieve.value, np.uint8)
+        for batch in batches:
+            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles"), strict=True):
+                h = np.frombuffer(raw.as_buffer(), np.int64)
+                if bits is not None:
+                    slot = h & (len(bits) * 8 - 1)
+                    h = h[bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), cid, np.int64)), pa.array(h)], ["cid", "h"])
+
+    return sets.mapInArrow(run, "cid long, h long")
+
+
+def by_rare_shingles(sets: DataFrame, outsiders: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of an outsider and a member that share a shingle that few outsiders have; and each outsider's number `rare` of such shingles.
+
+    The others of its shingles bound what an outsider can have in common with a member that isn't in a pair with it.
+    """
+    from .decontamination import sieve_of
+
+    own = postings(sets.join(outsiders, "cid", "left_semi"))
+    few = saved(own.groupBy("h").agg(F.count("*").alias("outsiders")).filter(f"outsiders <= {RARE}").select("h"), "rare-shingles")
+    found = postings(sets.join(members, "cid", "left_semi"), sieve_of(sets.sparkSession, few))
+    found = saved(found.join(few, "h", "left_semi"), "rare-postings")
+    theirs = found.join(outsiders, "cid", "left_semi")
+    pairs = theirs.select("h", F.col("cid").alias("a")).join(found.select("h", F.col("cid").alias("b")), "h").filter("a <> b").select("a", "b").distinct()
+    return pairs, theirs.groupBy("cid").agg(F.count("*").cast("int").alias("rare"))
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
     """Groups of documents linked, directly or through others, by 100 * intersection >= percent * union of their word shingles.
 
@@ -177,8 +224,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Documents with the same shingle set are one class. Classes that share a band
     of minima are candidates. First each bucket's members are compared with
     one pivot. Then, where a bucket still has members in different components,
-    those outside its largest are compared with all the others, a few at a time,
-    until no two components are left that were not compared. Candidates pass a
+    those outside its largest are compared with a few members of it, as long as this
+    joins many, then with those that share one of their rare shingles, and at last, where
+    the other shingles could be enough for a link, with all the others, some at a time,
+    until no two components are left that could be linked. Candidates pass a
     signature estimate and are confirmed on whole sets. A band is shared at the
     threshold except with a chance of MISS.
     """
@@ -191,8 +240,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = saved(groups, "classes")
     heads = saved(signs.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cid"), "n_shingles", "set_a", "set_b", "sig", "bands"), "heads")
     rows_of = heads.select(F.explode("bands").alias("key"), "cid", F.col("n_shingles").cast("int").alias("n"))
-    shared = heads.select(F.explode("bands").alias("key"), "cid").groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("pivot"), F.max("cid").alias("top")).filter("pivot < top").select("key", "members", "pivot")
+    shared = heads.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     buckets = saved(rows_of.join(shared, "key"), "buckets")
+    # Of a bucket's members, the one that meets the most others in all its buckets is the likeliest to be near them.
+    met = buckets.groupBy("cid").agg(F.sum("members").alias("met"))
+    buckets = saved(buckets.drop("members").join(met, "cid"), "ranked-buckets")
     inside = buckets.select("cid").distinct()
     sigs = saved(heads.join(inside, "cid", "left_semi").select("cid", "n_shingles", "set_a", "set_b", "sig"), "bucket-signatures")
     sets = saved(full_sets(docs, text_col, shingle, sigs.select("set_a", "set_b", "cid")), "sets", "lz4")
@@ -207,32 +259,48 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         both = some.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
         return saved(both.select("a", "b", "x", "y").mapInArrow(linked(percent), "a long, b long"), "links")
 
-    sizes = sigs.select(F.col("cid").alias("pivot"), F.col("n_shingles").cast("int").alias("n_pivot"))
-    pairs = buckets.filter("cid <> pivot").groupBy("pivot", "cid").agg(F.min("n").alias("n")).join(sizes, "pivot")
-    links = verified(pairs.select(F.col("pivot").alias("a"), F.col("cid").alias("b"), F.col("n_pivot").alias("n_a"), F.col("n").alias("n_b")))
-    rest = buckets.filter("cid <> pivot").select("key", "cid", "n")
-    parts = components(links)
+    pivots = buckets.groupBy("key").agg(F.max(F.struct("met", "cid", "n")).alias("p")).select("key", F.col("p.cid").alias("a"), F.col("p.n").alias("n_a"))
+    pairs = pivots.join(buckets.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b")), "key").filter("a <> b").select("a", "b", "n_a", "n_b")
+    parts = saved(components(verified(pairs)), "parts")
+    rest, sampling, before, rare = buckets, True, None, None
     while True:
-        marked = rest.join(parts, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("label"))
+        marked = rest.join(parts, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", "met", F.coalesce("component", "cid").alias("label"))
         by_label = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
         main = by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("labels")).filter("labels > 1")
         main = main.select("key", F.col("main.label").alias("main"), (F.col("members") - F.col("main.c")).alias("outside"))
         left = saved(marked.join(main, "key"), "mixed-buckets")
-        if left.isEmpty():
+        waiting = left.filter("label <> main").count()
+        if not waiting:
             break
-        # Outsiders are not in the bucket's main component. Few are all compared with the others; of many, some are taken in each round.
-        outsiders = left.filter("label <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "outside", F.expr(f"pmod(xxhash64(cid, 1), {PIVOTS})").alias("slot"))
-        first = F.min(F.struct(F.xxhash64("a").alias("order"), "a", "n_a", "label_a")).alias("p")
-        pivots = outsiders.filter(f"outside > {FEW}").groupBy("key", "slot").agg(first).select("key", "p.a", "p.n_a", "p.label_a")
-        tried = saved(outsiders.filter(f"outside <= {FEW}").select("key", "a", "n_a", "label_a").union(pivots), "pivots")
-        other = left.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+        sampling = sampling and (before is None or waiting <= PROGRESS * before)
+        before = waiting
+        member = lambda side: ("key", F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("label").alias(f"label_{side}"))
+        outsiders = left.filter("label <> main")
+        lead = lambda rows, slots: rows.withColumn("slot", F.expr(f"pmod(xxhash64(cid, {waiting}), {slots})")).groupBy("key", "slot").agg(F.max(F.struct("met", "cid", "n", "label")).alias("p")).select("key", "p.*")
         size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        new = verified(tried.join(other, "key").filter(f"a <> b and label_a <> label_b and {size}").select("a", "b", "n_a", "n_b"))
+        if sampling:  # leaders of the main component against those outside, as long as that joins many of them
+            tried = lead(left.filter("label = main"), LEADERS)
+            pairs = tried.select(*member("a")).join(outsiders.select(*member("b")), "key")
+        else:  # few outsiders are all compared with the others; of many, some are taken in each round
+            if rare is None:
+                found, rare = by_rare_shingles(sets, outsiders.select("cid").distinct(), left.select("cid").distinct())
+                rare = saved(rare, "rare")
+                for end in ("a", "b"):
+                    found = found.join(left.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("label").alias(f"label_{end}")).distinct(), end)
+                new = verified(found.filter(f"label_a <> label_b and {size}").select("a", "b", "n_a", "n_b"))
+                if not new.isEmpty():
+                    parts = merged(parts, new)
+                rest = left.select("key", "cid", "n", "met")
+                continue
+            tried = saved(outsiders.filter(f"outside <= {FEW}").select("key", "met", "cid", "n", "label").unionByName(lead(outsiders.filter(f"outside > {FEW}"), PIVOTS)), "pivots")
+            common = F.col("n") - F.coalesce("rare", F.lit(0))
+            pairs = tried.join(rare, "cid", "left").select(*member("a"), common.alias("common")).join(left.select(*member("b")), "key").filter(f"100 * common >= {percent} * (n_a + n_b - common)")
+        new = verified(pairs.filter(f"a <> b and label_a <> label_b and {size}").select("a", "b", "n_a", "n_b"))
         if not new.isEmpty():
-            links = saved(links.union(new), "all-links")
-            parts = components(links)
-        # What was compared with all others of its bucket is done.
-        rest = left.filter(f"outside > {FEW}").join(tried.select("key", F.col("a").alias("cid")), ["key", "cid"], "left_anti").select("key", "cid", "n")
+            parts = merged(parts, new)
+        rest = left.select("key", "cid", "n", "met", "outside")
+        if not sampling:  # what was compared with all others of its bucket is done
+            rest = rest.filter(f"outside > {FEW}").join(tried.select("key", "cid"), ["key", "cid"], "left_anti")
     labelled = classes.join(parts, F.col("cid") == F.col("node"), "left").select("set_a", "set_b", "least_id", F.coalesce("component", "cid").alias("label"))
     named = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = saved(labelled.join(named, "label").select("set_a", "set_b", "component_id"), "named")
