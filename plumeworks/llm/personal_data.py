@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_rows
+from .shared import arrow_rows, least_hashed
 from .textnum import slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-#: Documents with digits or an @ that the field is trained on: the least by a hash of the text.
+#: Documents with digits or an @ that the field is trained on: the least by a hash of id and text.
 SAMPLE = 1500
 ROUNDS, DAMPING = 10, 0.3
 #: Least belief in a label for a token that no pattern found.
@@ -204,7 +204,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     arrow_rows(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    some = source.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE).select("text").collect()
+    some = least_hashed(source.filter(F.col("text").rlike("[0-9@]")), SAMPLE, ("id", "text"), ("text",))
     nodes = Nodes()
     for i, r in enumerate(some):
         nodes.add(i, r[0], patterns(r[0]))
