@@ -45,11 +45,14 @@ def albers_inverse(x: Column, y: Column, steps: int = 4) -> tuple[Column, Column
     rho = F.sqrt(x * x + (RHO - y) * (RHO - y))
     lon = ORIGIN[1] + F.degrees(F.atan2(x, RHO - y)) / CONE
     q = (CONSTANT - rho * rho * CONE * CONE / AXIS**2) / CONE
-    phi = F.asin(q / 2)
-    for _ in range(steps):
+
+    def better(phi: Column, _: Column) -> Column:
         s = F.sin(phi)
         d = 1 - _E2 * s * s
-        phi = phi + d * d / (2 * F.cos(phi)) * (q / (1 - _E2) - s / d + F.log((1 - _E * s) / (1 + _E * s)) / (2 * _E))
+        return phi + d * d / (2 * F.cos(phi)) * (q / (1 - _E2) - s / d + F.log((1 - _E * s) / (1 + _E * s)) / (2 * _E))
+
+    # A fold, as the expression would grow with a power of the steps if it were written out.
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.asin(q / 2), better)
     return lon, F.degrees(phi)
 
 

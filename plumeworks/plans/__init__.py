@@ -1 +1,13 @@
-"""Work plans, pipelines and the registered queries."""
+"""Registered queries, content-keyed plans and intermediate tables.
+
+QUERIES and ORACLES hold all registered queries and their SQL; they are loaded when first asked for,
+as the operators use this package's intermediate tables.
+"""
+
+
+def __getattr__(name: str):
+    if name in ("QUERIES", "ORACLES"):
+        from . import dataset_queries, queries  # noqa: F401  (registers its queries)
+
+        return getattr(queries, name)
+    raise AttributeError(name)

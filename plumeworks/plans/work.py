@@ -50,10 +50,9 @@ def even_shards(place: Column, total: Column, shards: int) -> Column:
 
 
 def id_ranges(ids: DataFrame, column: str = "id") -> DataFrame:
-    """first and last of each run of ids without a gap."""
-    rows = ids.select(column).distinct()
-    island = F.col(column) - F.row_number().over(Window.orderBy(column))
-    return rows.withColumn("_g", island).groupBy("_g").agg(F.min(column).alias("first"), F.max(column).alias("last")).drop("_g")
+    """first and last of each run of ids without a gap: within a run, the id less its place stays the same."""
+    rows = numbered(ids.select(column).filter(F.col(column).isNotNull()).distinct(), [column], name="_place")
+    return rows.groupBy((F.col(column) - F.col("_place")).alias("_g")).agg(F.min(column).alias("first"), F.max(column).alias("last")).drop("_g")
 
 
 def range_text(ranges: DataFrame) -> DataFrame:

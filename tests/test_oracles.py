@@ -2,7 +2,7 @@
 
 import pytest
 from oracle import assert_same
-from plumeworks.plans import queries as plans
+from plumeworks import plans
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
