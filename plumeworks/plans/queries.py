@@ -269,7 +269,7 @@ seq AS (SELECT *, {SEC.format(a="t2", b="t3")} / 60 AS gap FROM lagged WHERE {SE
 HOURS = "hours AS (SELECT user_id AS aoi_id, date_trunc('hour', ts)::TIMESTAMP AS hour, round(sum(value), 4) AS nox FROM events GROUP BY ALL)"
 STEPS_SQL = f"""
 {SEQ}, {HOURS},
-st AS (SELECT s.*, {", ".join(f"CASE WHEN date_trunc('hour', t{i})::TIMESTAMP = t{i} THEN l{i}.nox ELSE l{i}.nox + {SEC.format(a=f"date_trunc('hour', t{i})::TIMESTAMP", b=f"t{i}")} / 3600.0 * (u{i}.nox - l{i}.nox) END AS x{i}" for i in range(4))}
+st AS (SELECT s.*, {", ".join(f"CASE WHEN {SEC.format(a=f"date_trunc('hour', t{i})::TIMESTAMP", b=f"t{i}")} = 0 THEN l{i}.nox ELSE l{i}.nox + {SEC.format(a=f"date_trunc('hour', t{i})::TIMESTAMP", b=f"t{i}")} / 3600.0 * (u{i}.nox - l{i}.nox) END AS x{i}" for i in range(4))}
   FROM seq s {" ".join(f"LEFT JOIN hours l{i} ON l{i}.aoi_id = s.aoi_id AND l{i}.hour = date_trunc('hour', t{i})::TIMESTAMP LEFT JOIN hours u{i} ON u{i}.aoi_id = s.aoi_id AND u{i}.hour = date_trunc('hour', t{i})::TIMESTAMP + INTERVAL 1 HOUR" for i in range(4))})"""
 
 
