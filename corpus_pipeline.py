@@ -12,30 +12,39 @@ from plumeworks.llm.shared import saved
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a row's own _key, in the order of doc_id, nulls last. Only rows that repeat both id and text share one, and each stage decides alike on these."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), digest.alias("digest")))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone."""
-    return docs.join(gone.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*DOCUMENT)
+    """docs without the rows whose _key is in gone."""
+    return docs.join(gone.select("_key").distinct(), "_key", "left_anti").select(*DOCUMENT)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language. A text that is null or has no letter has none and goes; lang stays as it came."""
+    """Documents with a language. A text that is null or has no letter has none and goes; where lang is null it becomes the classifier's."""
     rest = tuple(c for c in DOCUMENT if c != "doc_id")
-    return language_id.identify(docs, carry=rest).filter("lang_pred <> 'und'").select(*DOCUMENT)
+    return language_id.identify(docs, carry=rest).filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*DOCUMENT)
 
 
 def one_of_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts. Of rows that repeat both id and text, all stay or go together."""
-    return without(docs, exact_dedup.exact_groups(docs).filter("not kept"))
+    docs = keyed(docs)
+    return without(docs, exact_dedup.exact_groups(docs, id_col="_key").filter("not kept"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each group of documents that share four fifths of their five-word shingles."""
-    return without(docs, near_dedup.near_groups(docs, shingle=5, percent=80).filter("not kept"))
+    docs = keyed(docs)
+    return without(docs, near_dedup.near_groups(docs, id_col="_key", shingle=5, percent=80).filter("not kept"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    return without(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    docs = keyed(docs)
+    return without(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col="_key").filter("contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,10 +56,10 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     key = F.xxhash64("norm") if key_bits == 64 else F.expr(f"xxhash64(norm) & {(1 << key_bits) - 1}L")
     source = docs.select(F.col(id_col).alias("id"), text.alias("norm"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("points")).withColumn("key", key)
     entries = saved(source.select("id", "key", "points", F.sha2("norm", 256).alias("sha")), "index-entries")
-    # Of equal texts: the longest original, then the least id. ~id turns the order round without overflow.
-    best = F.max(F.struct("points", F.expr("~id").alias("back")))
+    # Of equal texts: the longest original, then the least id, null ids last.
+    best = F.min(F.struct((-F.col("points")).alias("short"), F.col("id").isNull().alias("none"), "id"))
     chains = source.groupBy("key", "norm").agg(F.count("*").alias("group_size"), best.alias("best"))
-    chains = chains.select("key", F.sha2("norm", 256).alias("sha"), "group_size", F.col("best.points").alias("keep_points"), F.expr("~best.back").alias("keep_id"))
+    chains = chains.select("key", F.sha2("norm", 256).alias("sha"), "group_size", (-F.col("best.short")).alias("keep_points"), F.col("best.id").alias("keep_id"))
     chains = saved(chains, "chains")
     depth = max(4, min(30, math.ceil(math.log2(max(1, chains.count()) / bucket_keys + 1)) + 4))
     keyed = chains.select("key").distinct().withColumn("cell", F.expr(f"shiftrightunsigned(key, {64 - depth})" if key_bits == 64 else f"key & {(1 << depth) - 1}L"))
