@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import discard, saved
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (its least node) for each node of edges (a, b), both long.
 
     Loops, repeated and reversed edges are allowed; edges with a null end are
-    ignored; no edges give no rows.
+    ignored; no edges give no rows. The rows are read from a table on the shared folder.
     """
     e = saved(edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -35,7 +35,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        e = saved(small_star(large_star(e)), "edges")
+        e, old = saved(small_star(large_star(e)), "edges"), e
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select("a", F.col("a")).distinct())
+    found = saved(e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select("a", F.col("a")).distinct()), "parts")
+    discard(e)
+    return found

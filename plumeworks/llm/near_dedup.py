@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import arrow_rows, saved
+from .shared import arrow_rows, discard, not_among, saved
 from .textnum import SPACE_WORDS, U64, Words, gram_hashes, mix, slices
 
 #: Chance that a pair at the threshold shares no band.
@@ -22,8 +22,10 @@ MAX_HASHES = 360
 FEW = PIVOTS = 256
 #: Members of a bucket's main component that each round of trials takes, and the share of outsiders that a round may leave for another to follow.
 LEADERS, PROGRESS = 2, 0.8
-#: Outsiders that have a rare shingle, at most.
+#: Members of mixed buckets that have a rare shingle, at most.
 RARE = 64
+#: Minima whose bytes make the signature by which pairs are estimated.
+SIGNATURE = 128
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -82,7 +84,7 @@ def minima(values: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """id, n_shingles, the set's key, a byte of each minimum and the band keys of each row."""
+    """id, n_shingles, the set's key, a byte of each of SIGNATURE minima and the band keys of each row."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([source.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "set_a", "set_b")), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     hashes = bands * rows
@@ -93,9 +95,10 @@ def signed(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows
                 values, counts = shingle_sets(Words(data, offsets, SPACE_WORDS), k)
                 key_a, key_b = set_keys(values, counts)
                 m = minima(values, counts, hashes)
-                sig, band = np.zeros((hi - lo, hashes), np.uint8), np.zeros((hi - lo, bands), np.int64)
+                few = m[:SIGNATURE]
+                sig, band = np.zeros((hi - lo, len(few)), np.uint8), np.zeros((hi - lo, bands), np.int64)
                 full = counts > 0
-                sig[full] = (m >> np.uint32(24)).astype(np.uint8).T ^ m.astype(np.uint8).T
+                sig[full] = (few >> np.uint32(24)).astype(np.uint8).T ^ few.astype(np.uint8).T
                 for i in range(bands):
                     band[full, i] = mix(gram_hashes_of(m[i * rows : (i + 1) * rows]) + U64(i)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -170,14 +173,16 @@ def linked(percent: int):
 
 
 def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after further links (a, b): only the components that these tie are run through again."""
+    """Components (node, component) after further links (a, b): only the components that these tie are run through again. `parts` is discarded."""
     ends = links
     for end in ("a", "b"):
         ends = ends.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end, "left")
-    more = saved(components(ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))), "more-parts")
+    more = components(ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")))
     moved = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
     known = parts.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return saved(known.union(more.join(parts.select("node"), "node", "left_anti").select("node", "component")), "parts")
+    out = saved(known.union(more.join(parts.select("node"), "node", "left_anti").select("node", "component")), "parts")
+    discard(parts, more)
+    return out
 
 
 def postings(sets: DataFrame, sieve=None) -> DataFrame:
@@ -197,16 +202,17 @@ def postings(sets: DataFrame, sieve=None) -> DataFrame:
 
 
 def by_rare_shingles(sets: DataFrame, outsiders: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of an outsider and a member that share a shingle that few outsiders have; and each outsider's number `rare` of such shingles.
+    """Pairs (a, b) of an outsider and a member that share a rare shingle, one that RARE members have at most; and each outsider's number `rare` of such shingles.
 
     The others of its shingles bound what an outsider can have in common with a member that isn't in a pair with it.
     """
     from .decontamination import sieve_of
 
-    own = postings(sets.join(outsiders, "cid", "left_semi"))
-    few = saved(own.groupBy("h").agg(F.count("*").alias("outsiders")).filter(f"outsiders <= {RARE}").select("h"), "rare-shingles")
-    found = postings(sets.join(members, "cid", "left_semi"), sieve_of(sets.sparkSession, few))
-    found = saved(found.join(few, "h", "left_semi"), "rare-postings")
+    spark, inside = sets.sparkSession, sets.join(members, "cid", "left_semi")
+    own = postings(sets.join(outsiders, "cid", "left_semi")).groupBy("h").agg(F.count("*").alias("outsiders")).filter(f"outsiders <= {RARE}").select("h")
+    own = saved(own, "outsiders-shingles")
+    few = saved(postings(inside, sieve_of(spark, own)).groupBy("h").agg(F.count("*").alias("n")).filter(f"n <= {RARE}").select("h").join(own, "h", "left_semi"), "rare-shingles")
+    found = saved(postings(inside, sieve_of(spark, few)).join(few, "h", "left_semi"), "rare-postings")
     theirs = found.join(outsiders, "cid", "left_semi")
     pairs = theirs.select("h", F.col("cid").alias("a")).join(found.select("h", F.col("cid").alias("b")), "h").filter("a <> b").select("a", "b").distinct()
     return pairs, theirs.groupBy("cid").agg(F.count("*").cast("int").alias("rare"))
@@ -234,41 +240,52 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     arrow_rows(spark)
     bands, rows = bands_for(percent / 100)
-    hashes = bands * rows
     signs = saved(signed(docs, id_col, text_col, shingle, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signatures")
-    groups = signs.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("cid"), F.min("id").alias("least_id"))
-    classes = saved(groups, "classes")
-    heads = saved(signs.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("cid"), "n_shingles", "set_a", "set_b", "sig", "bands"), "heads")
-    rows_of = heads.select(F.explode("bands").alias("key"), "cid", F.col("n_shingles").cast("int").alias("n"))
-    shared = heads.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = saved(rows_of.join(shared, "key"), "buckets")
+    keys = signs.filter("n_shingles > 0")
+    classes = saved(keys.groupBy("set_a", "set_b").agg(F.min("uid").alias("cid"), F.min("id").alias("least_id"), F.count("*").alias("copies")), "classes")
+    # The first row of each class stands for it; the others are those of classes with copies that aren't the first.
+    again = keys.join(classes.filter("copies > 1").select("set_a", "set_b", "cid"), ["set_a", "set_b"]).filter("uid <> cid").select("uid")
+    again = saved(again, "again")
+    heads = not_among(keys, "uid", again).withColumnRenamed("uid", "cid")
+    shared = saved(heads.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared-bands")
+    buckets = saved(heads.select(F.explode("bands").alias("key"), "cid", F.col("n_shingles").cast("int").alias("n")).join(shared, "key"), "buckets")
     # Of a bucket's members, the one that meets the most others in all its buckets is the likeliest to be near them.
-    met = buckets.groupBy("cid").agg(F.sum("members").alias("met"))
-    buckets = saved(buckets.drop("members").join(met, "cid"), "ranked-buckets")
-    inside = buckets.select("cid").distinct()
-    sigs = saved(heads.join(inside, "cid", "left_semi").select("cid", "n_shingles", "set_a", "set_b", "sig"), "bucket-signatures")
+    met = saved(buckets.groupBy("cid").agg(F.sum("members").alias("met")), "met")
+    sigs = saved(heads.select("cid", "n_shingles", "set_a", "set_b", "sig").join(met.select("cid"), "cid", "left_semi"), "bucket-signatures")
+    ids = saved(signs.select("id", "n_shingles", "set_a", "set_b"), "ids")
+    buckets = buckets.drop("members").join(met, "cid")
+    discard(shared, signs)
     sets = saved(full_sets(docs, text_col, shingle, sigs.select("set_a", "set_b", "cid")), "sets", "lz4")
+    hashes = min(SIGNATURE, bands * rows)
     spread = math.sqrt(percent * (100 - percent) / 1e4 / hashes)
     least = max(0.0, percent / 100 - 6 * spread)
+    sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        pairs = pairs.filter(size).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.filter(sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("y")), "b")
         some = saved(both.select("a", "b", "x", "y").mapInArrow(likely(least, hashes), "a long, b long"), "likely")
         both = some.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-        return saved(both.select("a", "b", "x", "y").mapInArrow(linked(percent), "a long, b long"), "links")
-
-    pivots = buckets.groupBy("key").agg(F.max(F.struct("met", "cid", "n")).alias("p")).select("key", F.col("p.cid").alias("a"), F.col("p.n").alias("n_a"))
-    pairs = pivots.join(buckets.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b")), "key").filter("a <> b").select("a", "b", "n_a", "n_b")
-    parts = saved(components(verified(pairs)), "parts")
-    rest, sampling, before, rare = buckets, True, None, None
+        links = saved(both.select("a", "b", "x", "y").mapInArrow(linked(percent), "a long, b long"), "links")
+        discard(some)
+        return links
+
+    # Each member is compared with one bucket's pivot: the one that it shares the most buckets with.
+    pivots = buckets.groupBy("key").agg(F.max(F.struct("met", "cid", "n")).alias("p")).select("key", F.col("p.met").alias("met_a"), F.col("p.cid").alias("a"), F.col("p.n").alias("n_a"))
+    pairs = pivots.join(buckets.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b")), "key").filter(f"a <> b and {sized}")
+    best = pairs.groupBy("b", "n_b", "a").agg(F.count("*").alias("times"), F.max("met_a").alias("met_a"), F.max("n_a").alias("n_a")).groupBy("b", "n_b").agg(F.max(F.struct("times", "met_a", "a", "n_a")).alias("p"))
+    links = verified(best.select("p.a", "b", "p.n_a", "n_b"))
+    parts = components(links)
+    discard(links)
+    rest, sampling, before, rare, left, tried = buckets, True, None, None, None, None
     while True:
         marked = rest.join(parts, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", "met", F.coalesce("component", "cid").alias("label"))
         by_label = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
         main = by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("labels")).filter("labels > 1")
         main = main.select("key", F.col("main.label").alias("main"), (F.col("members") - F.col("main.c")).alias("outside"))
-        left = saved(marked.join(main, "key"), "mixed-buckets")
+        left, old = saved(marked.join(main, "key"), "mixed-buckets"), left
+        discard(*(x for x in (old, tried) if x is not None))
+        tried = None
         waiting = left.filter("label <> main").count()
         if not waiting:
             break
@@ -277,33 +294,29 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         member = lambda side: ("key", F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("label").alias(f"label_{side}"))
         outsiders = left.filter("label <> main")
         lead = lambda rows, slots: rows.withColumn("slot", F.expr(f"pmod(xxhash64(cid, {waiting}), {slots})")).groupBy("key", "slot").agg(F.max(F.struct("met", "cid", "n", "label")).alias("p")).select("key", "p.*")
-        size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
         if sampling:  # leaders of the main component against those outside, as long as that joins many of them
-            tried = lead(left.filter("label = main"), LEADERS)
-            pairs = tried.select(*member("a")).join(outsiders.select(*member("b")), "key")
+            pairs = lead(left.filter("label = main"), LEADERS).select(*member("a")).join(outsiders.select(*member("b")), "key")
+        elif rare is None:
+            found, rare = by_rare_shingles(sets, outsiders.select("cid").distinct(), left.select("cid").distinct())
+            rare, pairs = saved(rare, "rare"), found
+            for end in ("a", "b"):
+                pairs = pairs.join(left.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("label").alias(f"label_{end}")).distinct(), end)
         else:  # few outsiders are all compared with the others; of many, some are taken in each round
-            if rare is None:
-                found, rare = by_rare_shingles(sets, outsiders.select("cid").distinct(), left.select("cid").distinct())
-                rare = saved(rare, "rare")
-                for end in ("a", "b"):
-                    found = found.join(left.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("label").alias(f"label_{end}")).distinct(), end)
-                new = verified(found.filter(f"label_a <> label_b and {size}").select("a", "b", "n_a", "n_b"))
-                if not new.isEmpty():
-                    parts = merged(parts, new)
-                rest = left.select("key", "cid", "n", "met")
-                continue
             tried = saved(outsiders.filter(f"outside <= {FEW}").select("key", "met", "cid", "n", "label").unionByName(lead(outsiders.filter(f"outside > {FEW}"), PIVOTS)), "pivots")
-            common = F.col("n") - F.coalesce("rare", F.lit(0))
-            pairs = tried.join(rare, "cid", "left").select(*member("a"), common.alias("common")).join(left.select(*member("b")), "key").filter(f"100 * common >= {percent} * (n_a + n_b - common)")
-        new = verified(pairs.filter(f"a <> b and label_a <> label_b and {size}").select("a", "b", "n_a", "n_b"))
+            bound = lambda side: (F.col(f"n_{side}") - F.coalesce(f"rare_{side}", F.lit(0)))
+            of = lambda rows, side: rows.join(rare, "cid", "left").select(*member(side), F.col("rare").alias(f"rare_{side}"))
+            pairs = of(tried, "a").join(of(left, "b"), "key").withColumn("common", F.least(bound("a"), bound("b"))).filter(f"100 * common >= {percent} * (n_a + n_b - common)")
+        new = verified(pairs.filter(f"a <> b and label_a <> label_b and {sized}").select("a", "b", "n_a", "n_b"))
         if not new.isEmpty():
             parts = merged(parts, new)
+        discard(new)
         rest = left.select("key", "cid", "n", "met", "outside")
-        if not sampling:  # what was compared with all others of its bucket is done
+        if tried is not None:  # what was compared with all others of its bucket is done
             rest = rest.filter(f"outside > {FEW}").join(tried.select("key", "cid"), ["key", "cid"], "left_anti")
     labelled = classes.join(parts, F.col("cid") == F.col("node"), "left").select("set_a", "set_b", "least_id", F.coalesce("component", "cid").alias("label"))
     named = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = saved(labelled.join(named, "label").select("set_a", "set_b", "component_id"), "named")
-    found = signs.select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    discard(sets, sigs, left, parts, classes)
+    found = ids.join(named, ["set_a", "set_b"], "left")
     group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return found.select(F.col("id").alias(id_col), "n_shingles", group.alias("component_id"), F.col("id").eqNullSafe(group).alias("kept"))
