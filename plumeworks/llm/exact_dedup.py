@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, sieved
 
 #: Keys of a bucket beyond which the directory doubles and the bucket is split.
 BUCKET_KEYS = 4096
+#: Cells of a directory that is sent to every task; beyond, it is joined by shuffle.
+BROADCAST_CELLS = 200_000
 
 
 def squeezed(text: Column) -> Column:
@@ -47,24 +49,30 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts, for tests.
 
     The index entries are (key, text's SHA-256, length, id) on shared files.
-    Keys are counted into cells, a directory of buckets is made from them, and
-    owner tasks take ranges of (bucket, key). The entries of one key form a
-    chain; its links are told apart by the texts' bytes, as the chain is grouped
-    by the text itself, with copies combined before the shuffle.
+    Keys are counted into cells, a directory of buckets is made from them, and it routes
+    every entry and text to its bucket; owner tasks take ranges of (bucket, key). Entries
+    that share a key form a chain in their bucket, whose links are told apart by the texts'
+    bytes, copies combined before the shuffle: only texts whose key is shared travel. An
+    entry finds its link in its bucket's chains; one without a link is alone.
     """
     text = squeezed(F.col(text_col))
     key = F.xxhash64("norm") if key_bits == 64 else F.expr(f"xxhash64(norm) & {(1 << key_bits) - 1}L")
     source = docs.select(F.col(id_col).alias("id"), text.alias("norm"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("points")).withColumn("key", key)
     entries = saved(source.select("id", "key", "points", F.sha2("norm", 256).alias("sha")), "index-entries")
+    keys = saved(entries.groupBy("key").agg(F.count("*").alias("n")), "index-keys")
+    depth = max(4, min(30, math.ceil(math.log2(max(1, keys.count()) / bucket_keys + 1)) + 4))
+    cell = F.expr(f"shiftrightunsigned(key, {64 - depth})" if key_bits == 64 else f"key & {(1 << depth) - 1}L")
+    directory = saved(directory_of(keys.select(cell.alias("cell")), depth, bucket_keys), "directory")
+    cells = F.broadcast(directory) if directory.count() <= BROADCAST_CELLS else directory
+    routed = lambda rows: rows.withColumn("cell", cell).join(cells, "cell").drop("cell")
+    index = saved(routed(keys).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
+    # The sieve lets a few lone keys through, whose chains have one entry.
+    chained = sieved(source, "key", index.filter("n > 1").select("key")).filter("_maybe")
     # Of equal texts: the longest original, then the least id, null ids last.
     best = F.min(F.struct((-F.col("points")).alias("short"), F.col("id").isNull().alias("none"), "id"))
-    chains = source.groupBy("key", "norm").agg(F.count("*").alias("group_size"), best.alias("best"))
-    chains = chains.select("key", F.sha2("norm", 256).alias("sha"), "group_size", (-F.col("best.short")).alias("keep_points"), F.col("best.id").alias("keep_id"))
-    chains = saved(chains, "chains")
-    depth = max(4, min(30, math.ceil(math.log2(max(1, chains.count()) / bucket_keys + 1)) + 4))
-    keyed = chains.select("key").distinct().withColumn("cell", F.expr(f"shiftrightunsigned(key, {64 - depth})" if key_bits == 64 else f"key & {(1 << depth) - 1}L"))
-    directory = directory_of(keyed, depth, bucket_keys)
-    owned = keyed.join(directory, "cell").select("key", "bucket", "local_depth")
-    index = saved(chains.join(owned, "key").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
-    found = entries.join(index, ["key", "sha"])
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "local_depth")
+    links = routed(chained).groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")
+    links = saved(links.select("bucket", "key", F.sha2("norm", 256).alias("sha"), "group_size", (-F.col("best.short")).alias("keep_points"), F.col("best.id").alias("keep_id")), "chains")
+    found = routed(entries).join(links, ["bucket", "key", "sha"], "left")
+    alone = F.col("group_size").isNull()
+    kept = alone | (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")))
+    return found.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "local_depth")

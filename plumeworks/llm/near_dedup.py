@@ -228,8 +228,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     table gives no rows. Other columns are ignored.
 
     Documents with the same shingle set are one class. Classes that share a band
-    of minima are candidates. First each bucket's members are compared with
-    one pivot. Then, where a bucket still has members in different components,
+    of minima are candidates. First each member is compared with the pivot of one of its
+    buckets. Then, where a bucket still has members in different components,
     those outside its largest are compared with a few members of it, as long as this
     joins many, then with those that share one of their rare shingles, and at last, where
     the other shingles could be enough for a link, with all the others, some at a time,

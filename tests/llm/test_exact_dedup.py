@@ -41,3 +41,13 @@ def test_directory_splits_overfull_buckets(spark):
 
 def test_empty_table(spark):
     assert exact_dedup.exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_answer_comes_through_the_directory(spark, monkeypatch):
+    """Without one of the directory's buckets the texts of that bucket are gone."""
+    df = spark.createDataFrame([(i, f"text {i % 20}") for i in range(60)], "doc_id long, text string")
+    whole = {r["doc_id"]: r["bucket"] for r in exact_dedup.exact_groups(df, bucket_keys=2).collect()}
+    lost, real = next(iter(whole.values())), exact_dedup.directory_of
+    monkeypatch.setattr(exact_dedup, "directory_of", lambda *a: real(*a).filter(f"bucket <> {lost}"))
+    got = {r["doc_id"] for r in exact_dedup.exact_groups(df, bucket_keys=2).collect()}
+    assert got == {i for i, b in whole.items() if b != lost} and len(got) < 60
