@@ -118,14 +118,14 @@ def full_grid(grid: DataFrame, values: DataFrame, key: list[str], floor_km2: flo
 
 
 def bilinear(points: DataFrame, field: DataFrame, rows: int, cols: int, key: list[str]) -> DataFrame:
-    """Adds value, the field (key, i, j, value) at fractional (fi, fj), held at the edges: the four neighbours come by one join and are summed by weight."""
+    """Adds value, the field (key, i, j, value) at fractional (fi, fj), held at the edges: the four neighbours come by one join and are summed by weight. Points that repeat stay one row each."""
     clamp = lambda v, n: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(n - 1)))
-    p = points.withColumns({"_fi": clamp(F.col("fi"), rows), "_fj": clamp(F.col("fj"), cols)})
+    p = points.withColumn("_row", F.monotonically_increasing_id()).withColumns({"_fi": clamp(F.col("fi"), rows), "_fj": clamp(F.col("fj"), cols)})
     p = p.withColumns({"_i": F.least(F.floor("_fi"), F.lit(rows - 2)).cast("int"), "_j": F.least(F.floor("_fj"), F.lit(cols - 2)).cast("int")})
     di, dj = F.col("_fi") - F.col("_i"), F.col("_fj") - F.col("_j")
     corner = lambda a, b: F.struct((F.col("_i") + a).alias("i"), (F.col("_j") + b).alias("j"), ((di if a else 1 - di) * (dj if b else 1 - dj)).alias("w"))
-    around = p.withColumn("_c", F.explode(F.array(*(corner(a, b) for a in (0, 1) for b in (0, 1))))).select(*points.columns, F.col("_c.i").alias("i"), F.col("_c.j").alias("j"), F.col("_c.w").alias("_w"))
-    return around.join(field, [*key, "i", "j"]).groupBy(*points.columns).agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
+    around = p.withColumn("_c", F.explode(F.array(*(corner(a, b) for a in (0, 1) for b in (0, 1))))).select(*points.columns, "_row", F.col("_c.i").alias("i"), F.col("_c.j").alias("j"), F.col("_c.w").alias("_w"))
+    return around.join(field, [*key, "i", "j"]).groupBy(*points.columns, "_row").agg(F.sum(F.col("_w") * F.col("value")).alias("value")).drop("_row")
 
 
 def coverage_features(rasters: DataFrame, floor: float = COVERAGE) -> DataFrame:

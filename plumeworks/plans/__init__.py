@@ -7,7 +7,7 @@ as the operators use this package's intermediate tables.
 
 def __getattr__(name: str):
     if name in ("QUERIES", "ORACLES"):
-        from . import dataset_queries, queries  # noqa: F401  (registers its queries)
+        from . import dataset_queries, queries, record_queries  # noqa: F401  (registers its queries)
 
         return getattr(queries, name)
     raise AttributeError(name)

@@ -240,9 +240,9 @@ def id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.id_ranges(table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 3 and o_totalprice > 20000").select(F.col("o_orderkey").alias("id")))
 
 
-@query("SELECT DISTINCT user_id AS key FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 30 = 0)")
+@query("SELECT DISTINCT user_id AS key FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
 def cache_miss_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = table(spark, sf_dir, "orders").filter("o_orderkey % 30 = 0").select(F.col("o_custkey").alias("key"))
+    cache = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
     return work.missing_work(table(spark, sf_dir, "events").select(F.col("user_id").alias("key")), cache)
 
 

@@ -9,12 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import geo, times
-from ..functions.semantics import finite, keep_one
-from ..operators import activity, aoi, mapping, metrics, normalization, raster, sequence, splits
-from ..sources import ingest
-from . import work
+from ..functions import times
+from ..operators import activity, aoi, mapping, sequence
+from ..sources import ingest, schemas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,12 +142,12 @@ def capacity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT o_custkey AS facility, year(o_orderdate) AS year, max(o_totalprice) AS price FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL),
+WITH a AS (SELECT o_custkey AS facility, year(o_orderdate) AS year, max(o_totalprice) AS price FROM orders GROUP BY ALL),
 p AS (SELECT facility, y AS wanted FROM (SELECT DISTINCT o_custkey AS facility FROM orders), (SELECT unnest(range(1994, 2003)) AS y))
 SELECT p.facility, p.wanted, coalesce(a.year, -1)::BIGINT AS year, round(a.price, 4) AS price FROM p ASOF LEFT JOIN a ON p.facility = a.facility AND p.wanted >= a.year""")
 def asof_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    a = o.filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("facility"), F.year("o_orderdate").cast("long").alias("year")).agg(F.max("o_totalprice").alias("price"))
+    a = o.groupBy(F.col("o_custkey").alias("facility"), F.year("o_orderdate").cast("long").alias("year")).agg(F.max("o_totalprice").alias("price"))
     years = o.select(F.col("o_custkey").alias("facility")).distinct().withColumn("wanted", F.explode(F.sequence(F.lit(1994).cast("long"), F.lit(2002).cast("long"))))
     return rounded(ingest.as_of(years, a, ["facility"], "wanted", "year", ["price"]).select("facility", "wanted", F.coalesce("year", F.lit(-1)).cast("long").alias("year"), "price"), 4)
 
@@ -178,10 +177,8 @@ def enrich_rowcount_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(value AS INTEGER) AS value_int, NULL::VARCHAR AS absent FROM (SELECT event_id, props, trunc(value) AS value FROM events)""")
 def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.schemas import schema
-
     rows = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.expr("cast(cast(value as int) as string)").alias("value_int"))
-    return ingest.normalized(rows, schema("event_id:l k:l value_int:i absent:s"), ("event_id",))
+    return ingest.normalized(rows, schemas.schema(event_id=T.LongType(), k=T.LongType(), value_int=T.IntegerType(), absent=T.StringType()), ("event_id",))
 
 
 @query("""
@@ -197,11 +194,11 @@ def granule_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT o_orderkey, o_orderdate::DATE AS a, (o_orderdate::DATE + (o_orderkey % 100)::INT)::DATE AS b FROM orders WHERE o_orderkey % 10 = 0),
+WITH m AS (SELECT o_orderkey, o_orderdate::DATE AS a, (o_orderdate::DATE + (o_orderkey % 100)::INT)::DATE AS b FROM orders),
 w AS (SELECT o_orderkey, a, b, unnest(generate_series(date_trunc('month', a)::TIMESTAMP, date_trunc('month', b)::TIMESTAMP, INTERVAL 1 MONTH)) AS s FROM m)
 SELECT o_orderkey, greatest(s::DATE, a)::VARCHAR AS begin_date, least(last_day(s::DATE), b)::VARCHAR AS end_date, ((date_trunc('quarter', a) - INTERVAL 1 DAY)::DATE)::VARCHAR AS quarter_end FROM w""")
 def month_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 100 as int))").alias("b"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 100 as int))").alias("b"))
     rows = o.withColumn("w", F.explode(times.month_windows(F.col("a"), F.col("b"))))
     return rows.select("o_orderkey", F.col("w.begin").cast("string").alias("begin_date"), F.col("w.end").cast("string").alias("end_date"), times.previous_quarter_end(F.col("a")).cast("string").alias("quarter_end"))
 
@@ -225,7 +222,7 @@ def sessionize_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT vec_id, embedding[1] * 3 + vec_id % 7 AS lon, embedding[2] * 3 + vec_id % 5 AS lat, vec_id % 6 AS step, (vec_id % 6) * 10.0::DOUBLE AS step_time, vec_id % 9 AS granule, vec_id AS xtrack FROM embeddings),
-b AS (SELECT c_custkey AS aoi_id, (c_custkey % 7)::DOUBLE - 0.4 AS lon_min, (c_custkey % 7)::DOUBLE + 0.5 AS lon_max, (c_custkey % 5)::DOUBLE - 0.3 AS lat_min, (c_custkey % 5)::DOUBLE + 0.4 AS lat_max FROM customer WHERE c_custkey <= 60),
+b AS (SELECT c_custkey AS aoi_id, (c_custkey % 7)::DOUBLE - 0.4 AS lon_min, (c_custkey % 7)::DOUBLE + 0.5 AS lon_max, (c_custkey % 5)::DOUBLE - 0.3 AS lat_min, (c_custkey % 5)::DOUBLE + 0.4 AS lat_max FROM customer),
 j AS (SELECT * FROM p JOIN b ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max),
 hit AS (SELECT DISTINCT aoi_id FROM j WHERE xtrack % 4 = 0),
 k AS (SELECT * FROM j WHERE xtrack % 4 = 0 OR aoi_id NOT IN (SELECT aoi_id FROM hit)),
@@ -237,7 +234,7 @@ def observation_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "embeddings").select((F.col("embedding")[0] * F.lit(3) + v % 7).cast("float").cast("double").alias("lon"), (F.col("embedding")[1] * F.lit(3) + v % 5).cast("float").cast("double").alias("lat"), (v % 6).alias("step"), (v % 6 * 10.0).alias("step_time"), (v % 9).alias("granule"), v.alias("xtrack"))
     c = F.col("c_custkey")
     at = lambda m, d: ((c % m).cast("double") + d)
-    b = table(spark, sf_dir, "customer").filter("c_custkey <= 60").select(c.alias("aoi_id"), at(7, -0.4).alias("lon_min"), at(7, 0.5).alias("lon_max"), at(5, -0.3).alias("lat_min"), at(5, 0.4).alias("lat_max"))
+    b = table(spark, sf_dir, "customer").select(c.alias("aoi_id"), at(7, -0.4).alias("lon_min"), at(7, 0.5).alias("lon_max"), at(5, -0.3).alias("lat_min"), at(5, 0.4).alias("lat_max"))
     steps = F.array_join(F.transform("steps", lambda s: F.concat(s["granule"].cast("string"), F.lit(":"), s["first"].cast("string"), F.lit("-"), s["last"].cast("string"))), ",")
     return rounded(mapping.sampled_observations(p, b).withColumn("steps", steps))
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, which all executors share; a folder of our own where it is unset."""
+    """spark.checkpoint.dir, which all executors share; only a local master may leave it unset, and gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="plumeworks-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

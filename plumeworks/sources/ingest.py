@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from ..functions.semantics import keep_one
 
 
+# The provider's file names, and what counts as a generator with its capacity.
+GRANULE_NAME = r"^TEMPO_NO2_(L2|L3)_(V\d{2})_(\d{8}T\d{6})Z_S(\d{3})(?:G(\d{2}))?\.nc$"
+GENERATOR_CAPACITY = r"^\s*([^(),]+?)\s*\(\s*(\d+(?:\.\d*)?|\.\d+)\s*\)\s*$"
+
+
 def normalized(df: DataFrame, kind: T.StructType, required: tuple[str, ...] = ()) -> DataFrame:
     """The schema's columns in its order: cast where possible, null where missing or not castable."""
     if missing := [c for c in required if c not in df.columns]:
@@ -33,8 +38,7 @@ def read_csv(spark, path: str, kind: T.StructType, required: tuple[str, ...] = (
 
 def granule_name(name: Column) -> list[Column]:
     """level, version, taken_at, scan_num, granule_num and well_formed of a granule's file name: level 2 has a granule number, level 3 none."""
-    pattern = r"^TEMPO_\w+_(L[23])_(V\d{2})_(\d{8}T\d{6})Z_S(\d{3})(?:G(\d{2}))?\.nc$"
-    part = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(name, GRANULE_NAME, i), F.lit(""))
     level, granule = part(1), part(5)
     good = F.coalesce((level == "L2") == granule.isNotNull(), F.lit(False))
     return [level.alias("level"), part(2).alias("version"), F.try_to_timestamp(part(3), F.lit("yyyyMMdd'T'HHmmss")).alias("taken_at"), part(4).cast("int").alias("scan_num"), granule.cast("int").alias("granule_num"), good.alias("well_formed")]
@@ -61,8 +65,7 @@ def byte_ranges(lines: DataFrame, fields: dict[str, str]) -> DataFrame:
 def generator_capacities(attributes: DataFrame, text: str = "associatedGeneratorsAndNameplateCapacity") -> DataFrame:
     """One row per generator of `A (12.5), B (3)`: its name in upper case and positive megawatts; malformed parts go."""
     rows = attributes.withColumn("_part", F.explode(F.split(F.coalesce(F.col(text), F.lit("")), ",")))
-    pattern = r"^\s*(.+?)\s*\(\s*([^()]*?)\s*\)\s*$"
-    rows = rows.withColumn("generator", F.upper(F.trim(F.regexp_extract("_part", pattern, 1)))).withColumn("mw", F.regexp_extract("_part", pattern, 2).try_cast("double"))
+    rows = rows.withColumn("generator", F.upper(F.trim(F.regexp_extract("_part", GENERATOR_CAPACITY, 1)))).withColumn("mw", F.regexp_extract("_part", GENERATOR_CAPACITY, 2).try_cast("double"))
     return rows.filter("generator <> '' and mw > 0 and not isnan(mw) and mw < double('infinity')").drop("_part")
 
 

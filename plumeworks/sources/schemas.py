@@ -3,30 +3,72 @@
 from __future__ import annotations
 
 from pyspark.sql import types as T
+from pyspark.sql.types import BinaryType, BooleanType, ByteType, DateType, DoubleType, IntegerType, LongType, ShortType, StringType, TimestampType
 
-_KINDS = {"s": T.StringType(), "d": T.DoubleType(), "l": T.LongType(), "i": T.IntegerType(), "h": T.ShortType(), "b": T.ByteType(), "t": T.TimestampType(), "D": T.DateType(), "B": T.BooleanType(), "x": T.BinaryType(), "S": T.ArrayType(T.StringType()), "I": T.ArrayType(T.IntegerType()), "F": T.ArrayType(T.DoubleType())}
 
+def schema(**fields: T.DataType) -> T.StructType:
+    """Nullable fields in the order given."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-def schema(text: str) -> T.StructType:
-    """`name:kind` pairs, kinds as in _KINDS."""
-    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split(":") for x in text.split())])
 
-
-#: Raw hourly unit records; names are the provider's.
+# The names and order of hourly unit records are the provider's.
 HOURLY = schema(
-    "stateCode:s facilityName:s facilityId:l unitId:s date:D hour:b opTime:d grossLoad:d noxMass:d noxRate:d so2Mass:d so2Rate:d co2Mass:d co2Rate:d heatInput:d "
-    "noxMassMeasureFlg:s noxRateMeasureFlg:s so2MassMeasureFlg:s so2RateMeasureFlg:s co2MassMeasureFlg:s co2RateMeasureFlg:s heatInputMeasureFlg:s primaryFuelInfo:s unitType:s"
+    stateCode=StringType(),
+    facilityName=StringType(),
+    facilityId=LongType(),
+    unitId=StringType(),
+    date=DateType(),
+    hour=ByteType(),
+    opTime=DoubleType(),
+    grossLoad=DoubleType(),
+    noxMass=DoubleType(),
+    noxMassMeasureFlg=StringType(),
+    noxRate=DoubleType(),
+    noxRateMeasureFlg=StringType(),
+    so2Mass=DoubleType(),
+    so2MassMeasureFlg=StringType(),
+    so2Rate=DoubleType(),
+    so2RateMeasureFlg=StringType(),
+    co2Mass=DoubleType(),
+    co2MassMeasureFlg=StringType(),
+    co2Rate=DoubleType(),
+    co2RateMeasureFlg=StringType(),
+    heatInput=DoubleType(),
+    heatInputMeasureFlg=StringType(),
+    primaryFuelInfo=StringType(),
+    unitType=StringType(),
 )
 HOURLY_REQUIRED = ("facilityId", "unitId", "date", "hour", "opTime")
-ATTRIBUTES = schema("facilityId:l unitId:s year:l latitude:d longitude:d epaRegion:d maxHourlyHIRate:d associatedGeneratorsAndNameplateCapacity:s")
-CAPACITY = schema("facilityId:l facilityAttributeYear:l facility_nameplate_capacity_mw:d")
-GRANULES = schema("relative_path:s scan_num:i granule_num:h time_coverage_start:t time_coverage_end:t footprint_wkb:x year:h month:b")
-OBSERVATIONS = schema("aoi_id:l scan_date:D scan_num:i scan_start:t scan_midpoint:t scan_end:t tempo_time:t granule_paths:S mirror_step_starts:I mirror_step_ends:I sampled_pixel_count:l")
-PIXELS = schema("value:d lon:d lat:d corner_lon:F corner_lat:F cloud_fraction:d quality_flag:h uncertainty:d")
-FAILURES = schema("record_index:l error:s")
-CANDIDATES = schema("candidate_index:l aoi_id:l lat:d lon:d scan_date:D scan_num:i tempo_time:t granule_paths:S weather_path:s tempo_cached:B weather_cached:B")
-VALIDITY = schema("cache_key:s status:s tempo_cache_path:s weather_cache_path:s reason:s")
-FINAL = schema("candidate_index:l aoi_id:l scan_date:D scan_num:i tempo_time:t cache_key:s raster_bundle_path:s")
+
+# Names of attribute records are the provider's.
+ATTRIBUTES = schema(
+    facilityId=LongType(),
+    unitId=StringType(),
+    year=LongType(),
+    latitude=DoubleType(),
+    longitude=DoubleType(),
+    epaRegion=DoubleType(),
+    maxHourlyHIRate=DoubleType(),
+    associatedGeneratorsAndNameplateCapacity=StringType(),
+)
+
+# Columns of the tables that are kept between steps.
+GRANULES = schema(relative_path=StringType(), scan_num=IntegerType(), granule_num=ShortType(), time_coverage_start=TimestampType(), time_coverage_end=TimestampType(), footprint_wkb=BinaryType(), year=ShortType(), month=ByteType())
+FAILURES = schema(record_index=LongType(), error=StringType())
+CANDIDATES = schema(
+    candidate_index=LongType(),
+    aoi_id=LongType(),
+    lat=DoubleType(),
+    lon=DoubleType(),
+    scan_date=DateType(),
+    scan_num=IntegerType(),
+    tempo_time=TimestampType(),
+    granule_paths=T.ArrayType(StringType()),
+    weather_path=StringType(),
+    tempo_cached=BooleanType(),
+    weather_cached=BooleanType(),
+)
+VALIDITY = schema(cache_key=StringType(), status=StringType(), tempo_cache_path=StringType(), weather_cache_path=StringType(), reason=StringType())
 
 
 def empty(spark, kind: T.StructType):

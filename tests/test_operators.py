@@ -84,3 +84,11 @@ def test_runs_of_ids(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 3), (7, 7), (9, 10)]
     assert work.range_text(got).first()["spec"] == "1-3,7,9-10"
     assert work.id_ranges(spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_bilinear_keeps_points_that_repeat(spark):
+    from plumeworks.operators import raster
+
+    field = spark.createDataFrame([(1, i, j, 1.0) for i in range(3) for j in range(3)], "key int, i int, j int, value double")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (1, 0.5, 0.5), (1, 2.5, -1.0)], "key int, fi double, fj double")
+    assert [r["value"] for r in raster.bilinear(points, field, 3, 3, ["key"]).collect()] == [1.0, 1.0, 1.0]
