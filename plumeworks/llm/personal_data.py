@@ -9,6 +9,7 @@ tokens' other occurrences.
 from __future__ import annotations
 
 import re
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from .textnum import slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-#: Documents with digits or an @ that the field is trained on: the least by a hash of id and text.
+#: Documents that may hold a base span, by LIKELY, that the field is trained on: the least by a hash of id and text.
 SAMPLE = 1500
+LIKELY = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}|\+[0-9][ ().0-9-]{8}"
 ROUNDS, DAMPING = 10, 0.3
 #: Least belief in a label for a token that no pattern found.
 BELIEF = 0.9
@@ -101,7 +103,7 @@ class Nodes:
             b = a + len(core)
             while at < len(base) and base[at][2] <= a:
                 at += 1
-            label = next((k + 1 for s, k, e in base[at : at + 8] if s < b and a < e), 0)
+            label = next((k + 1 for s, k, e in takewhile(lambda x: x[0] < b, islice(base, at, None)) if a < e), 0)
             i = len(self.doc)
             self.doc.append(doc)
             self.start.append(a)
@@ -204,7 +206,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     arrow_rows(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    some = least_hashed(source.filter(F.col("text").rlike("[0-9@]")), SAMPLE, ("id", "text"), ("text",))
+    some = least_hashed(source.filter(F.col("text").rlike(LIKELY)), SAMPLE, ("id", "text"), ("text",))
     nodes = Nodes()
     for i, r in enumerate(some):
         nodes.add(i, r[0], patterns(r[0]))

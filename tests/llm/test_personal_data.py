@@ -63,3 +63,11 @@ def test_null_and_empty_texts_have_none(found):
 
 def test_empty_table(spark):
     assert pd.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_span_can_label_a_token():
+    """Long tokens under many spans: the one that meets a later token isn't among the first few."""
+    text = ",".join(["1.2.3.4"] * 20) + " 10.0.0.1 5.6.7.8"
+    nodes = pd.Nodes()
+    nodes.add(0, text, pd.patterns(text))
+    assert nodes.label == [2, 2, 2]
