@@ -20,14 +20,30 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+#: Parts of a schema, what stands for one that is missing, and their kinds.
+SHAPES = (("type", "", (str, list)), ("enum", [], list), ("minimum", 0, (int, float)), ("maximum", 0, (int, float)), ("properties", {}, dict), ("required", [], list))
+
+
+def same(x, y) -> bool:
+    """Whether two JSON values are equal; true isn't 1."""
+    return canonical(x) == canonical(y) or x == y and not isinstance(x, bool) and not isinstance(y, bool) and isinstance(x, (int, float)) and isinstance(y, (int, float))
+
+
 def faults(value, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with a value: type, required, properties, additionalProperties, enum, items, minimum and maximum are known."""
+    """What is wrong with a value: type, required, properties, additionalProperties, enum, items, minimum and maximum are known.
+
+    A part of the schema that isn't of its kind, such as an unknown type's name, is a fault of every value.
+    """
+    if not isinstance(schema, dict) or not all(isinstance(schema.get(k, d), t) for k, d, t in SHAPES):
+        return [f"{at}: bad schema"]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
+    if unknown := [str(k) for k in kinds if not isinstance(k, str) or k not in TYPES]:
+        return [f"{at}: bad schema, no type {', '.join(unknown)}"]
     if kinds and not any(isinstance(value, TYPES[k]) and (not isinstance(value, bool) or k == "boolean") for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         out += [f"{at}: {word}" for key, word, bad in (("minimum", "too small", lambda m: value < m), ("maximum", "too large", lambda m: value > m)) if key in schema and bad(schema[key])]

@@ -41,3 +41,10 @@ def test_links_orders_and_validates(spark):
 
 def test_empty_table(spark):
     assert tool_calls.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_bad_schemas_and_enums():
+    assert tool_calls.faults({"x": 1}, {"type": "thing"}) == ["$: bad schema, no type thing"]
+    assert tool_calls.faults(3, {"minimum": "low"}) == ["$: bad schema"]
+    assert tool_calls.faults({"x": 1}, {"properties": {"x": "number"}}) == ["$.x: bad schema"]
+    assert tool_calls.faults(True, {"enum": [1]}) == ["$: not in enum"] and tool_calls.faults(1.0, {"enum": [1]}) == []
