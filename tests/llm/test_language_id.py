@@ -41,11 +41,20 @@ def test_presence_is_of_each_text_alone():
 
 
 def test_scores_are_those_of_the_kernel():
-    """The folded matrix gives the same scores as the kernel rows at the landmarks."""
-    texts = [w * n for n in range(1, 9) for w in ("abc ", "xyz ")]
-    names, weights = language_id.fit(texts, ["a", "b"] * 8, landmarks=3)
+    """The folded matrix against ridge regression on Nyström features of a kernel that is computed pair by pair from sets of n-grams."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(alphabet), 30)) for _ in range(12) for alphabet in ("abcd ", "cdef ")]
+    labels = ["a", "b"] * 12
+    grams = [{t.encode()[i : i + n] for n in language_id.GRAMS for i in range(len(t) - n + 1)} for t in texts]
+    kernel = np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in grams] for x in grams])
+    marks = [i for n in ("a", "b") for i in [j for j, l in enumerate(labels) if l == n][:5]]
+    values, vectors = np.linalg.eigh(kernel[np.ix_(marks, marks)])
+    good = values > 1e-6 * values[-1]
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = kernel[:, marks] @ root
+    y = np.array([[1.0, -1.0] if l == "a" else [-1.0, 1.0] for l in labels])
+    want = phi @ np.linalg.solve(phi.T @ phi + language_id.RIDGE * len(texts) * np.eye(phi.shape[1]) / phi.shape[1], phi.T @ y)
+    names, weights = language_id.fit(texts, labels, landmarks=5)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    _, x, norm = next(language_id.blocks(data, offsets))
-    f = x.astype(float) @ weights / norm[:, None]
-    assert [names[i] for i in f.argmax(axis=1)] == ["a", "b"] * 8
+    _, x, norm = next(language_id.blocks(data, np.arange(len(texts) + 1) * 30))
+    assert names == ["a", "b"] and np.allclose(x.astype(float) @ weights / norm[:, None], want, atol=0.02)
