@@ -97,3 +97,13 @@ def histogram(frame: DataFrame, value: str, bins: int, low: float = 0.01, high:
     rows = frame.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(lim))
     b = F.least(F.greatest(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(0)), F.lit(bins - 1))
     return rows.groupBy(*(by or []), b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def gain_by_tertile(frame: DataFrame, characteristic: str, first: str, second: str, unit: str = "aoi_id", by: list[str] | None = None) -> DataFrame:
+    """Of two models' predictions of the same records, in the thirds of the units by their median characteristic (in each group `by`): aoi_count, record_count, value_min, value_max, both accuracies and the second's gain."""
+    by = by or []
+    units = frame.groupBy(*by, unit).agg(F.median(characteristic).alias("_v")).filter("_v is not null")
+    rows = frame.join(units.withColumn("stratum", tertiles(F.col("_v"), by)), [*by, unit])
+    right = lambda c: F.avg((F.col("truth") == F.col(c)).cast("double"))
+    out = rows.groupBy(*by, "stratum").agg(F.count_distinct(unit).alias("aoi_count"), F.count("*").alias("record_count"), F.min("_v").alias("value_min"), F.max("_v").alias("value_max"), right(first).alias(f"{first}_accuracy"), right(second).alias(f"{second}_accuracy"))
+    return out.withColumn("accuracy_gain", F.col(f"{second}_accuracy") - F.col(f"{first}_accuracy"))
