@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.work import summed_before
+
 
 def classification_metrics(frame: DataFrame, classes: int = 3, by: list[str] | None = None) -> DataFrame:
     """n, accuracy, balanced_accuracy (over classes that occur), macro_f1 (0 where undefined) of truth and predicted, from counts by pair."""
@@ -39,15 +41,14 @@ def confusion(frame: DataFrame, classes: int = 3) -> DataFrame:
 def auroc(frame: DataFrame, scores: list[str], by: list[str] | None = None) -> DataFrame:
     """macro_auroc, the mean over classes of the chance that a row of the class has the higher score, ties half; null unless all classes are there.
 
-    It is counted from distinct scores, which are few where scores are rounded, by
-    running sums over each class's sorted scores.
+    It is counted from distinct scores by running sums over each class's scores, which
+    are sorted in ranges, so that no task takes a class.
     """
     by = by or []
     long = frame.select(*by, "truth", F.explode(F.array(*(F.struct(F.lit(k).alias("class"), F.col(s).cast("double").alias("score")) for k, s in enumerate(scores)))).alias("x"))
     g = long.groupBy(*by, F.col("x.class").alias("class"), F.col("x.score").alias("score")).agg(F.count_if(F.col("truth") == F.col("x.class")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by, "class").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0))
-    rows = g.withColumn("wins", F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2.0))
+    rows = summed_before(g.withColumn("neg", F.col("n") - F.col("pos")), ["score"], [*by, "class"], {"below": "neg"})
+    rows = rows.withColumn("wins", F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
     each = rows.groupBy(*by, "class").agg(F.sum("wins").alias("wins"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     value = F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("wins") / F.nullif((F.col("p") * F.col("q")).cast("double"), F.lit(0.0)))
     return each.withColumn("a", value).groupBy(*by).agg(F.when(F.count("a") == len(scores), F.avg("a")).alias("macro_auroc"))

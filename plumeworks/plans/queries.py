@@ -5,6 +5,7 @@ Unit-hour records are bound to `events`: the facility is user_id, the unit event
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import times
 from ..operators import activity, aoi, mapping, sequence
 from ..sources import ingest, schemas
+from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,10 +170,13 @@ def utc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH a AS (SELECT o_custkey AS user_id, count(*) AS n_orders FROM orders GROUP BY 1), e AS (SELECT event_id, user_id, n_orders FROM events LEFT JOIN a USING (user_id))
 SELECT (SELECT count(*) FROM events) AS source_rows, count(*) AS enriched_rows, count(DISTINCT event_id) AS distinct_rows, count(n_orders) AS matched FROM e""")
 def enrich_rowcount_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    """Events written with their users' and their own attributes, and counted."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
     a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n_orders"))
-    rows = e.select("event_id", "user_id").join(a, "user_id", "left").agg(F.count("*").alias("enriched_rows"), F.count_distinct("event_id").alias("distinct_rows"), F.count("n_orders").alias("matched"))
-    return e.agg(F.count("*").alias("source_rows")).crossJoin(rows)
+    path = f"{shared_folder(spark)}/enriched-{uuid.uuid4().hex}"
+    n = ingest.write_enriched(e, a, e.select("event_id", F.lit(True).alias("known")), path, (["user_id"], ["event_id"]))
+    rows = spark.read.parquet(path)
+    return rows.agg(F.lit(n).cast("long").alias("source_rows"), F.count("*").alias("enriched_rows"), F.count_distinct("event_id").alias("distinct_rows"), F.count("n_orders").alias("matched"))
 
 
 @query("""

@@ -36,6 +36,21 @@ def numbered(frame: DataFrame, order: list[str], by: list[str] | None = None, na
     return rows.withColumn("_local", local).join(before, ["_part", *by]).withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
+def summed_before(frame: DataFrame, order: list[str], by: list[str], columns: dict[str, str]) -> DataFrame:
+    """Adds, for each new name, the sum of its column over the rows before, within `by` and by a total order; 0 for the first.
+
+    As with places, each sorted range adds up its own rows, and the ranges' sums are its offset.
+    """
+    rows = frame.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id())
+    rows = materialized(rows, "summed")
+    inner = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part", *by).agg(*(F.sum(c).alias(f"_{n}") for n, c in columns.items()))
+    parts = parts.select("_part", *by, *(F.coalesce(F.sum(f"_{n}").over(outer), F.lit(0)).alias(f"_{n}") for n in columns))
+    out = rows.withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in columns.items()}).join(parts, ["_part", *by])
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in columns}).drop("_part", *(f"_{n}" for n in columns))
+
+
 def shard_ranges(frame: DataFrame, split: str, size: int) -> DataFrame:
     """shard, split, first and end of consecutive ranges of up to `size` rows in each split."""
     n = frame.groupBy(split).agg(F.count("*").alias("_n"))
@@ -108,9 +123,9 @@ def discovery_status(scan_error: Column, complete: Column, weather_error: Column
 
 def trimmed(candidates: DataFrame, targets: dict[str, int], split: str = "split", order: str = "candidate_index") -> DataFrame:
     """The first `target` candidates of each split by order, with a compact index from 0."""
-    w = Window.partitionBy(split).orderBy(order)
     target = F.coalesce(*(F.when(F.col(split) == s, F.lit(n)) for s, n in targets.items()), F.lit(0))
-    return candidates.withColumn("new_index", F.row_number().over(w) - 1).filter(F.col("new_index") < target)
+    rows = candidates.filter(F.col(split).isin(list(targets)))
+    return numbered(rows, [order], [split], "new_index").filter(F.col("new_index") < target)
 
 
 def shortfalls(candidates: DataFrame, targets: dict[str, int], split: str = "split") -> DataFrame:

@@ -11,7 +11,7 @@ def _plain(x):
     if x is None:
         return (0, "")
     if isinstance(x, (float, Decimal)):
-        return (1, "nan") if math.isnan(x) else (1, f"{float(x) + 0.0:.6g}")
+        return (1, "nan") if math.isnan(x) else (1, f"{float(x) + 0.0:.10g}")
     if isinstance(x, bool):
         return (1, str(x))
     return (1, str(x))
