@@ -65,10 +65,13 @@ def sieved(df: DataFrame, key: str | Column, keys: DataFrame) -> DataFrame:
     bits = 1 << min(SIEVE_MOST, max(SIEVE_LEAST, (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     marks = keys.select(place(F.col(keys.columns[0])).alias("_at"))
-    table = saved(marks.groupBy(F.expr("bitmap_bucket_number(_at)").alias("_row")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_bits")), "sieve")
+    rows = marks.groupBy(F.expr("bitmap_bucket_number(_at)").alias("_row")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_bits"))
+    # Two bytes make a number of 16 bits, less 2^15, so that a probe is one array access.
+    pair = lambda i: (F.conv(F.hex(F.substring("_bits", i * 2 + 1, F.lit(2))), 16, 10).cast("int") - 32768).cast("smallint")
+    table = saved(rows.select("_row", F.transform(F.sequence(F.lit(0), (F.length("_bits") / 2).cast("int") - 1), pair).alias("_bits")), "sieve")
     at = df.withColumn("_at", place(F.col(key) if isinstance(key, str) else key)).withColumn("_row", F.expr("bitmap_bucket_number(_at)"))
-    byte = F.expr("cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10) as bigint)")
-    bit = F.getbit(byte, F.expr("cast(bitmap_bit_position(_at) % 8 as int)"))
+    number = F.expr("cast(get(_bits, cast(bitmap_bit_position(_at) div 16 as int)) as bigint) + 32768")
+    bit = F.getbit(number, F.expr("cast((bitmap_bit_position(_at) + 8) % 16 as int)"))
     return at.join(F.broadcast(table), "_row", "left").withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_row", "_at", "_bits")
 
 
