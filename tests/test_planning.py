@@ -6,7 +6,7 @@ import hashlib
 import numpy as np
 import pytest
 from plumeworks.operators import candidates, masks, metrics, zones
-from plumeworks.plans import planning
+from plumeworks.plans import planning, work
 from plumeworks.sources import granules
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -164,3 +164,14 @@ def test_gain_of_the_second_model(spark):
     frame = spark.createDataFrame(rows, "aoi_id long, v double, truth int, x int, y int")
     got = {r["stratum"]: (r["x_accuracy"], r["y_accuracy"], r["accuracy_gain"]) for r in metrics.gain_by_tertile(frame, "v", "x", "y").collect()}
     assert got == {"Low": (1, 0, -1), "Middle": (1, 1, 0), "High": (1, 1, 0)}
+
+
+def test_sums_and_places_over_ranges(spark):
+    rows = [(g, i * 7 % 50, i) for g in ("a", "b") for i in range(50)]
+    frame = spark.createDataFrame(rows, "g string, k long, v long").repartition(7)
+    got = {(r["g"], r["k"]): r["s"] for r in work.summed_before(frame, ["k"], ["g"], {"s": "v"}).collect()}
+    assert got == {(g, k): sum(v for h, j, v in rows if h == g and j < k) for g, k, _ in rows}
+    kept = work.trimmed(frame.withColumnsRenamed({"g": "split", "k": "candidate_index"}), {"a": 3, "c": 2}).collect()
+    assert sorted((r["split"], r["candidate_index"], r["new_index"]) for r in kept) == [("a", 0, 0), ("a", 1, 1), ("a", 2, 2)]
+    none = frame.limit(0)
+    assert work.summed_before(none, ["k"], ["g"], {"s": "v"}).collect() == []
