@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_text, language_id, near_dedup, packing, passages, personal_data, pitman_yor, tool_calls, turn_queries, vector_queries
+from . import decontamination, exact_dedup, html_text, language_id, near_dedup, packing, passages, personal_data, pitman_yor, repeat_queries, tool_calls, turn_queries, vector_queries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,6 @@ SELECT conv_id, turn, 0 AS part, 'message' AS kind, NULL::VARCHAR AS call_id, NU
   NULL::BOOLEAN AS valid, NULL::VARCHAR AS errors, 0 AS level, '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS json
 FROM conversations"""
 
-for _more in (turn_queries, vector_queries):
+for _more in (repeat_queries, turn_queries, vector_queries):
     QUERIES |= _more.QUERIES
     ORACLES |= _more.ORACLES
