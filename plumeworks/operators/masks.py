@@ -3,51 +3,114 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Least and most hidden share, chance to go on at a region's border, and the edge's weights.
+# Least and most hidden share, chance to go on at a region's border, the edge's weights, and how a record's random numbers are seeded.
 HIDDEN = (0.01, 0.15)
 BORDER = 0.94
 EDGE_REACH, EDGE_FLOOR = 2.5, 0.06
+SEED_BYTES, SEED_ORDER = 8, "little"
+
+#: Masks that grow side by side.
+TOGETHER = 1024
 
 
 def stream(identifier: str, seed: int) -> np.random.Generator:
-    """A record's own random numbers, from the first eight bytes of SHA-256 of seed:identifier, the lowest first."""
-    return np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{identifier}".encode()).digest()[:8], "little"))
+    """A record's own random numbers, from the first bytes of SHA-256 of seed:identifier."""
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{identifier}".encode()).digest()[:SEED_BYTES], SEED_ORDER))
+
+
+def edge_weights(rows: int, cols: int) -> np.ndarray:
+    r, c = np.mgrid[:rows, :cols]
+    return (np.exp(-np.minimum(np.minimum(r, rows - 1 - r), np.minimum(c, cols - 1 - c)) / EDGE_REACH) + EDGE_FLOOR).ravel()
+
 
+def neighbours(rows: int, cols: int) -> np.ndarray:
+    """Of each cell the eight around it, row by row; rows * cols where there is none."""
+    r, c = np.divmod(np.arange(rows * cols), cols)
+    out = []
+    for dr in (-1, 0, 1):
+        for dc in (-1, 0, 1):
+            if dr or dc:
+                inside = (r + dr >= 0) & (r + dr < rows) & (c + dc >= 0) & (c + dc < cols)
+                out.append(np.where(inside, (r + dr) * cols + c + dc, rows * cols))
+    return np.stack(out, axis=1)
 
-def grown(identifier: str, seed: int, rows: int, cols: int) -> np.ndarray:
-    """1 for visible cells and 0 for hidden ones, row by row.
 
-    Cells near the edge are likelier; those beside hidden ones, by the square of one more than
-    their number of hidden neighbours of eight.
+def drawn(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A column of each row by its weights: the first whose share of the running sum is above u."""
+    total = (weights / weights.sum(axis=1, keepdims=True)).cumsum(axis=1)
+    return (total / total[:, -1:] <= u[:, None]).sum(axis=1)
+
+
+def grown(identifiers: Sequence[str], seed: int, rows: int, cols: int) -> np.ndarray:
+    """A row of rows * cols cells for each identifier, 1 where its raster stays visible and 0 where it is hidden.
+
+    A mask hides a share of its cells, one by one. Mostly the next is drawn from the border of
+    what is hidden, by the edge's weight and the square of one more than the number of its hidden
+    neighbours, the border's cells standing in the order in which they first met a hidden one; else from
+    all visible cells by the edge's weight. All masks take their steps together, each by its own
+    random numbers, so that a mask is the same alone and among others.
     """
-    rng = stream(identifier, seed)
-    r, c = np.mgrid[:rows, :cols]
-    edge = (np.exp(-np.minimum(np.minimum(r, rows - 1 - r), np.minimum(c, cols - 1 - c)) / EDGE_REACH) + EDGE_FLOOR).ravel()
-    left = max(1, round(rng.uniform(*HIDDEN) * rows * cols))
-    shown, beside = np.ones((rows, cols), bool), np.zeros((rows, cols))
-    while left:
-        border = (beside > 0) & shown
-        near = border.any() and rng.random() < BORDER
-        odds = np.where(border if near else shown, (1.0 + beside) ** 2 if near else 1.0, 0.0).ravel() * edge
-        total = odds.cumsum()
-        i, j = divmod(int(np.searchsorted(total, rng.random() * total[-1], side="right")), cols)
-        shown[i, j] = False
-        beside[max(0, i - 1) : i + 2, max(0, j - 1) : j + 2] += 1
-        left -= 1
-    return shown.ravel().astype(np.int32)
+    n, size = len(identifiers), rows * cols
+    edge, around = edge_weights(rows, cols), neighbours(rows, cols)
+    left, draws = np.zeros(n, int), []
+    for i, x in enumerate(identifiers):
+        rng = stream(x, seed)
+        left[i] = max(1, round(rng.uniform(*HIDDEN) * size))
+        draws.append(rng.random(2 * left[i]))
+    numbers = np.zeros((n, 2 * left.max(initial=0)))
+    for i, d in enumerate(draws):
+        numbers[i, : len(d)] = d
+    # One column more takes what falls outside the raster.
+    hidden, beside = np.zeros((n, size + 1), bool), np.zeros((n, size + 1))
+    hidden[:, size] = True
+    border, met, waiting, used = np.full((n, size), size), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
+    while (at := np.flatnonzero(left)).size:
+        near = waiting[at] > 0
+        near[near] = numbers[at[near], used[at[near]]] < BORDER
+        used[at] += waiting[at] > 0
+        u = numbers[at, used[at]]
+        used[at] += 1
+        cell = np.zeros(len(at), int)
+        if near.any():
+            who = at[near][:, None]
+            cells = border[at[near], : met[at[near]].max()]
+            weight = np.where(hidden[who, cells], 0.0, np.append(edge, 0.0)[cells] * (1.0 + beside[who, cells]) ** 2)
+            cell[near] = cells[np.arange(len(cells)), drawn(weight, u[near])]
+        if not near.all():
+            cell[~near] = drawn(edge * ~hidden[at[~near], :size], u[~near])
+        waiting[at] -= beside[at, cell] > 0
+        hidden[at, cell] = True
+        left[at] -= 1
+        for k in range(8):
+            other = around[cell, k]
+            seen = ~hidden[at, other]
+            who, other = at[seen], other[seen]
+            new = beside[who, other] == 0
+            beside[who, other] += 1
+            border[who[new], met[who[new]]] = other[new]
+            met[who[new]] += 1
+            waiting[who[new]] += 1
+    return (~hidden[:, :size]).astype(np.int32)
 
 
 def visible_mask(identifier: Column, seed: int, rows: int, cols: int) -> Column:
-    """An array of rows * cols cells, 1 where a record's raster stays visible; null for a null identifier. Arrays go by Arrow batches."""
+    """An array of rows * cols cells, 1 where a record's raster stays visible; null for a null identifier. Masks of an Arrow batch grow together."""
 
     @F.pandas_udf("array<int>")
     def masks(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else grown(x, seed, rows, cols) for x in ids], dtype=object)
+        out = pd.Series([None] * len(ids), dtype=object)
+        known = np.flatnonzero(ids.notna())
+        for i in range(0, len(known), TOGETHER):
+            part = known[i : i + TOGETHER]
+            for j, mask in zip(part, grown([ids.iloc[k] for k in part], seed, rows, cols), strict=True):
+                out.iat[j] = mask
+        return out
 
     return masks(identifier.cast("string"))

@@ -203,8 +203,8 @@ def gain_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def synthetic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible cells of each user's records, 24 by 24."""
-    e = table(spark, sf_dir, "events").select("event_id")
+    """Visible cells of each user's records, 24 by 24. A small file is one task's: rows are dealt out, as a mask costs far more than its row."""
+    e = table(spark, sf_dir, "events").select("event_id").repartition(spark.sparkContext.defaultParallelism)
     return e.withColumn("visible", masks.visible_mask(F.col("event_id").cast("string"), 7, 24, 24))
 
 

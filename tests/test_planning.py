@@ -77,14 +77,36 @@ def test_gaps_grow_from_a_records_own_numbers(spark):
     assert hidden[0].sum() == max(1, round(share * 576))
 
 
-def test_a_step_of_growth_by_hand():
-    """On 1 by 3 cells one is hidden: the first, where the number drawn is below its odds."""
-    for key in map(str, range(30)):
-        rng = masks.stream(key, 1)
-        rng.uniform()
-        w = np.exp(-np.array([0, 0, 0]) / 2.5) + 0.06  # all three lie on the edge
-        at = int(np.searchsorted(w.cumsum(), rng.random() * w.sum(), side="right"))
-        assert masks.grown(key, 1, 1, 3).tolist() == [int(i != at) for i in range(3)]
+def mask_by_one_loop(identifier, seed, rows, cols):
+    """One mask, a cell at a time, its border kept in a dictionary in order of arrival."""
+    rng, edge = masks.stream(identifier, seed), masks.edge_weights(rows, cols)
+    left = max(1, round(rng.uniform(0.01, 0.15) * rows * cols))
+    hidden, border = set(), {}
+    for _ in range(left):
+        if border and rng.random() < 0.94:
+            pool = list(border)
+            odds = np.array([edge[c] * (1 + border[c]) ** 2 for c in pool])
+        else:
+            pool = [c for c in range(rows * cols) if c not in hidden]
+            odds = edge[pool]
+        cell = pool[rng.choice(len(pool), p=odds / odds.sum())]
+        hidden.add(cell)
+        border.pop(cell, None)
+        for r in range(max(0, cell // cols - 1), min(rows, cell // cols + 2)):
+            for c in range(max(0, cell % cols - 1), min(cols, cell % cols + 2)):
+                if r * cols + c not in hidden:
+                    border[r * cols + c] = border.get(r * cols + c, 0) + 1
+    return [int(c not in hidden) for c in range(rows * cols)]
+
+
+@pytest.mark.parametrize(("rows", "cols", "n"), [(24, 24, 150), (1, 1, 3), (1, 7, 40), (9, 2, 40)])
+def test_masks_that_grow_together_equal_those_of_one_loop(rows, cols, n):
+    ids = [f"r{i}" for i in range(n)]
+    assert masks.grown(ids, 7, rows, cols).tolist() == [mask_by_one_loop(i, 7, rows, cols) for i in ids]
+
+
+def test_masks_of_fixed_seeds():
+    assert [np.flatnonzero(masks.grown(["a"], s, 6, 6)[0] == 0).tolist() for s in (1, 2, 3)] == [[26, 31], [16, 17, 22, 23, 30], [17, 23]]
 
 
 def test_paths_of_lists(spark):
