@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.semantics import keep_one
-from ..plans.storage import materialized
+from ..tables import materialized
 
 HALF = 36_000.0
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import finite
 from ..plans.planning import with_weather_paths
-from ..plans.storage import materialized
+from ..tables import materialized
 from . import activity, aoi, sequence
 
 LABEL_MODE = "linear_interpolated_timestep_ema"

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import times
 from ..operators import activity, aoi, mapping, sequence
 from ..sources import ingest, schemas
-from .storage import shared_folder
+from ..tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

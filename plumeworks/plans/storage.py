@@ -1,32 +1,11 @@
-"""Intermediate tables and outputs."""
+"""Outputs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, which all executors share; only a local master may leave it unset, and gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="plumeworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def write_partitions(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None) -> None:
     """Zstd Parquet by partition columns; only the partitions that df has are replaced."""
     rows = df.repartition(*columns)

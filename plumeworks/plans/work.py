@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialized
+from ..tables import materialized
 
 
 def content_key(*columns: Column) -> Column:
