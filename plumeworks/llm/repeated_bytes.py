@@ -82,13 +82,14 @@ def cuts_of(data: np.ndarray, offsets: np.ndarray, c: Cutting) -> tuple[np.ndarr
 
 
 class Segments(NamedTuple):
-    """Windows begin .. end - 1 of a text that have the same cuts. full: they lie in a repeat; bare: they have no whole phrase
-    between cuts of their own; open: the phrases from `a` to `b` between their cuts repeat, and their bytes will tell."""
+    """Windows begin .. end - 1 of a text that have the same cuts, from `a` to `b`. full: they lie in a repeat; bare: no cut depends on
+    their own bytes alone; lone: just one does; open: the phrases between their cuts repeat, and their bytes will tell."""
 
     begin: np.ndarray
     end: np.ndarray
     full: np.ndarray
     bare: np.ndarray
+    lone: np.ndarray
     open: np.ndarray
     a: np.ndarray
     b: np.ndarray
@@ -106,8 +107,7 @@ def segments(cuts: np.ndarray, shared: np.ndarray, c: Cutting) -> Segments:
     full = end - 1 + c.length <= reached[here]
     a = np.searchsorted(inner, begin + c.reach, "left") + 1
     b = np.searchsorted(inner, begin + c.length - c.reach - c.gram, "right")
-    bare = b <= a
-    return Segments(begin, end, full, bare, ~full & ~bare & (shared[np.minimum(a, len(shared) - 1)] >= b - a), a, b)
+    return Segments(begin, end, full, b < a, a == b, ~full & (b > a) & (shared[np.minimum(a, len(shared) - 1)] >= b - a), a, b)
 
 
 def places(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -121,38 +121,77 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-PHRASES = pa.schema([("text_id", pa.int64()), ("symbols", pa.binary()), ("cuts", pa.binary()), ("at", pa.int64()), ("h", pa.int64()), ("g", pa.int64())])
-PHRASES_DDL = "text_id long, symbols binary, cuts binary, at long, h long, g long"
+WINDOWS = pa.schema([("text_id", pa.int64()), ("at", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64())])
+WINDOWS_DDL = "text_id long, at long, end long, h long, g long, n long"
+
+
+def window_rows(schema: pa.Schema, ids: np.ndarray, text: np.ndarray, at: np.ndarray, asked: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> pa.RecordBatch:
+    """Rows for the windows at places `at` of data, ascending within a text: its place and hashes of one that is alone here and asked for; hashes and
+    number of others; and ranges of places (without hashes) of those asked for that already occur twice here."""
+    h, g = window_hashes(data, at, length)
+    order = np.lexsort((g, h))
+    new = np.ones(len(at), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(at)))
+    one = order[first]
+    single = (n == 1) & asked[one]
+    twice = np.zeros(len(at), bool)
+    twice[order] = np.repeat(n > 1, n)
+    met = np.flatnonzero(twice & asked)
+    begins = np.ones(len(met), bool)
+    begins[1:] = (at[met[1:]] != at[met[:-1]] + 1) | (text[met[1:]] != text[met[:-1]])
+    from_ = met[begins]
+    to = met[np.append(np.flatnonzero(begins)[1:], len(met)) - 1] if len(met) else met
+    rows = [one[single], one[~single]]
+    nothing = lambda k: pa.nulls(k, pa.int64())
+    local = lambda i: pa.array(at[i] - offsets[text[i]], pa.int64())
+    many = lambda x, i: pa.array(x[i], pa.int64())
+    columns = {
+        "text_id": [many(ids, text[rows[0]]), nothing(len(rows[1])), many(ids, text[from_])],
+        "at": [local(rows[0]), nothing(len(rows[1])), local(from_)],
+        "end": [nothing(len(rows[0])), nothing(len(rows[1])), pa.array(at[to] - offsets[text[to]] + 1, pa.int64())],
+        "h": [many(h, rows[0]), many(h, rows[1]), nothing(len(from_))],
+        "g": [many(g, rows[0]), many(g, rows[1]), nothing(len(from_))],
+        "n": [many(n, single), many(n, ~single), nothing(len(from_))],
+    }
+    return batch_of(schema, **{k: pa.concat_arrays(v) for k, v in columns.items()})
+
+
+PHRASES = pa.schema([("symbols", pa.binary()), ("cuts", pa.binary()), ("margin", pa.int64()), *WINDOWS])
+PHRASES_DDL = "symbols binary, cuts binary, margin long, " + WINDOWS_DDL
 
 
 def phrases(c: Cutting):
-    """Each text's symbols and cuts; and a row for each window without a whole phrase, by its hashes."""
+    """Each text's symbols and cuts; a row for each cut that is alone in a window, by a hash of its surroundings; and rows for the windows without a cut of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("text_id"))
+            all_ids = np.asarray(batch.column("text_id"))
             for lo, hi, data, offsets in slices(batch.column("text")):
+                ids = all_ids[lo:hi]
                 cuts, first = cuts_of(data, offsets, c)
                 begins = np.ones(len(cuts), bool)
                 begins[first[1:] - 1] = False
                 starts = np.flatnonzero(begins)
                 symbols = span_hashes(data, cuts[starts], cuts[starts + 1])
-                # Three cuts that lie close together are in the windows of a text that has no others.
+                # Cuts so far apart that a window may have one or none between them.
                 apart = np.zeros(len(cuts), bool)
                 apart[:-2] = cuts[2:] - cuts[:-2] > c.length - 2 * c.reach - c.gram
                 wide = np.add.reduceat(apart, first[:-1]) > 0
                 local = [cuts[first[i] : first[i + 1]] - offsets[i] for i in range(hi - lo)]
                 ends = first - np.arange(len(first))
-                yield batch_of(PHRASES, text_id=ids[lo:hi], symbols=[symbols[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)], cuts=[x.astype(np.int32).tobytes() for x in local])
-                text, at = [], []
+                yield batch_of(PHRASES, text_id=ids, symbols=[symbols[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)], cuts=[x.astype(np.int32).tobytes() for x in local])
+                text, at, lone, owner = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
                 for i in np.flatnonzero(wide | (np.diff(first) < 4)).tolist():
                     s = segments(local[i], np.zeros(len(local[i]) - 1, np.int64), c)
                     at.append(places(s.begin[s.bare], s.end[s.bare]) + offsets[i])
                     text.append(np.full(len(at[-1]), i))
-                if at:
-                    text, at = np.concatenate(text), np.concatenate(at)
-                    h, g = window_hashes(data, at, c.length)
-                    yield batch_of(PHRASES, text_id=ids[lo:hi][text], at=at - offsets[text], h=h, g=g)
+                    lone.append(np.unique(s.a[s.lone]) + first[i])
+                    owner.append(np.full(len(lone[-1]), i))
+                text, at, lone, owner = (np.concatenate(x) for x in (text, at, lone, owner))
+                yield batch_of(PHRASES, text_id=ids[owner], margin=span_hashes(BYTES[0][data], cuts[lone] - c.reach, cuts[lone] + c.reach + c.gram).view(np.int64))
+                yield window_rows(PHRASES, ids, text, at, np.ones(len(at), bool), data, offsets, c.length)
 
     return run
 
@@ -341,6 +380,11 @@ def row_segments(cuts: bytes, index: bytes | None, shared: bytes | None, copied:
 CANDIDATES = pa.schema([("text_id", pa.int64()), ("cores", pa.list_(pa.int64()))])
 
 
+def margin_spans(cuts: np.ndarray, s: Segments, c: Cutting) -> np.ndarray:
+    """Begin and end of the bytes that all windows with the cuts of these segments have in common, wherever they occur."""
+    return np.stack((cuts[s.a] - c.reach, cuts[s.b] + c.reach + c.gram))
+
+
 def core_keys(symbols: bytes, s: Segments, which: np.ndarray) -> np.ndarray:
     """A hash of the phrases between the cuts of these segments' windows."""
     return span_hashes(np.frombuffer(symbols, np.uint64), s.a[which], s.b[which]).view(np.int64)
@@ -362,37 +406,59 @@ def candidates(c: Cutting):
     return run
 
 
-WINDOWS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("text_id", pa.int64()), ("at", pa.int64())])
-WINDOWS_DDL = "h long, g long, n long, text_id long, at long"
+MARGINS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("asked", pa.bool_())])
+
+
+def passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = keys & (len(bits) * 8 - 1)
+    return bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+
+
+def in_question(batch: pa.RecordBatch, c: Cutting, cores: np.ndarray) -> Iterator[tuple]:
+    """(ids, data, offsets, text, Segments, place of the segments' text in data, margin keys) of a batch's segments that are open or lone, or that an open one may equal."""
+    rows = batch.select(["text_id", "symbols", "cuts", "index", "shared", "copied"]).to_pylist()
+    for lo, hi, data, offsets in slices(batch.column("text")):
+        text, found, keys = [], [], []
+        for i in range(hi - lo):
+            r = rows[lo + i]
+            line, s = row_segments(r["cuts"], r["index"], r["shared"], r["copied"], c)
+            which = np.flatnonzero((s.b > s.a) & (s.full | s.open))
+            which = np.concatenate((which[passes(core_keys(r["symbols"], s, which), cores)], np.flatnonzero(s.lone)))
+            which.sort()
+            text.append(np.full(len(which), i))
+            found.append(Segments(*(x[which] for x in s)))
+            keys.append(margin_spans(line, found[-1], c) + offsets[i])
+        spans = np.concatenate(keys, axis=1)
+        yield np.array([r["text_id"] for r in rows[lo:hi]], np.int64), data, offsets, np.concatenate(text), Segments(*(np.concatenate(x) for x in zip(*found, strict=True))), span_hashes(BYTES[0][data], spans[0], spans[1]).view(np.int64)
 
 
-def windows(c: Cutting, sieve):
-    """Hashes of the windows whose inner phrases are those of an open window: a row with its place for each open one, counts for the others."""
+def margins(c: Cutting, sieve):
+    """Of the segments in question, how many have the same margins, and whether one of them isn't known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sieve.value, np.uint8)
+        cores = np.frombuffer(sieve.value, np.uint8)
         for batch in batches:
-            rows = batch.select(["text_id", "symbols", "cuts", "index", "shared", "copied"]).to_pylist()
-            for lo, hi, data, offsets in slices(batch.column("text")):
-                text, at, known = [], [], []
-                for i in range(lo, hi):
-                    r = rows[i]
-                    _, s = row_segments(r["cuts"], r["index"], r["shared"], r["copied"], c)
-                    which = np.flatnonzero((s.full & ~s.bare) | s.open)
-                    key = core_keys(r["symbols"], s, which)
-                    slot = key & (len(bits) * 8 - 1)
-                    which = which[bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0]
-                    p = places(s.begin[which], s.end[which])
-                    at.append(p + offsets[i - lo])
-                    text.append(np.full(len(p), i - lo))
-                    known.append(np.repeat(s.full[which], s.end[which] - s.begin[which]))
-                text, at, known = (np.concatenate(x) for x in (text, at, known))
-                h, g = window_hashes(data, at, c.length)
-                ids = np.array([r["text_id"] for r in rows[lo:hi]], np.int64)
-                free = ~known
-                yield batch_of(WINDOWS, h=h[free], g=g[free], n=np.ones(int(free.sum()), np.int64), text_id=ids[text[free]], at=(at - offsets[text])[free])
-                pairs, n = np.unique(np.stack((h[known], g[known])), axis=1, return_counts=True)
-                yield batch_of(WINDOWS, h=pairs[0], g=pairs[1], n=n)
+            for *_, s, keys in in_question(batch, c, cores):
+                h, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+                asked = np.zeros(len(h), bool)
+                np.logical_or.at(asked, inverse, ~s.full)
+                yield batch_of(MARGINS, h=h, n=n, asked=asked)
+
+    return run
+
+
+def windows(c: Cutting, sieve, margin_sieve):
+    """Rows of `window_rows` for the windows of segments whose margins others have, asked for where they aren't known to repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cores, bits = np.frombuffer(sieve.value, np.uint8), np.frombuffer(margin_sieve.value, np.uint8)
+        for batch in batches:
+            for ids, data, offsets, text, s, keys in in_question(batch, c, cores):
+                which = np.flatnonzero(passes(keys, bits))
+                size = s.end[which] - s.begin[which]
+                owner = np.repeat(text[which], size)
+                at = places(s.begin[which], s.end[which]) + offsets[owner]
+                yield window_rows(WINDOWS, ids, owner, at, np.repeat(~s.full[which], size), data, offsets, c.length)
 
     return run
 
@@ -413,9 +479,8 @@ def removed(c: Cutting):
                     change = np.zeros(b - a + 1, np.int32)
                     np.add.at(change, s.begin[s.full], 1)
                     np.add.at(change, s.end[s.full] + c.length - 1, -1)
-                    at = np.array(r["found"] or [], np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + c.length, -1)
+                    np.add.at(change, np.array([x["at"] for x in r["found"] or []], np.int64), 1)
+                    np.add.at(change, np.array([x["end"] for x in r["found"] or []], np.int64) + c.length - 1, -1)
                     gone = np.cumsum(change[:-1]) > 0
                     edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
                     starts, ends = np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()
@@ -461,24 +526,26 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     places_of = shards.select("shard", "place", "texts", "first", "index")
     shared = saved(places_of.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(common_prefixes, SHARED_DDL), "prefixes")
 
-    # What a window without a whole phrase equals is such a window too.
-    bare = cut.filter("at is not null").select("h", "g", F.lit(1).cast("long").alias("n"), "text_id", "at")
     flags = texts.select("text_id", "copied")
     known = strings.join(shared, "text_id").join(flags, "text_id")
     some = saved(known.mapInArrow(candidates(c), "text_id long, cores array<long>"), "candidates")
     cores = sieve_of(spark, some.select(F.explode("cores").alias("h")))
-    found = saved(met_windows(bare), "bare-windows")
-    wanted = some.select("text_id").union(found.select("text_id")).distinct()
-    work = among(texts, "text_id", saved(wanted, "wanted")).join(strings, "text_id").join(shared, "text_id", "left")
-    work = saved(work, "work")
-    opened = saved(work.filter("index is not null").mapInArrow(windows(c, cores), WINDOWS_DDL), "windows")
-    found = found.unionByName(met_windows(opened))
-    lists = found.groupBy("text_id").agg(F.collect_list("at").alias("found"))
-    gone = saved(work.filter("not copied").join(lists, "text_id", "left").select("key", "text", "cuts", "index", "shared", "found").mapInArrow(removed(c), FOUND_DDL), "removed")
+    # What equals a window without a cut of its own, or with just one, is such a window too.
+    bare = saved(met_windows(cut.filter("at is not null or n is not null")), "bare-windows")
+    alone = cut.filter("margin is not null").select("text_id", F.col("margin").alias("h"))
+    paired = alone.join(alone.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h", "left_semi")
+    wanted = saved(some.select("text_id").union(bare.select("text_id")).union(paired.select("text_id")).distinct(), "wanted")
+    work = saved(among(texts, "text_id", wanted).join(strings, "text_id").join(shared, "text_id", "left"), "work")
+    discard(texts, cut, shards, shared, symbols)
+    pairs = work.mapInArrow(margins(c, cores), "h long, n long, asked boolean").groupBy("h").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    margin_sieve = sieve_of(spark, pairs.filter("n > 1 and asked").select("h"))
+    found = saved(work.mapInArrow(windows(c, cores, margin_sieve), WINDOWS_DDL), "windows")
+    found = saved(bare.unionByName(met_windows(found)).groupBy("text_id").agg(F.collect_list(F.struct("at", "end")).alias("found")), "found")
+    gone = saved(work.filter("not copied").join(found, "text_id", "left").select("key", "text", "cuts", "index", "shared", "found").mapInArrow(removed(c), FOUND_DDL), "removed")
+    discard(work, found, bare, some, wanted)
     nothing = F.array().cast("array<struct<start:long,end:long>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     rows = ids.join(copied.withColumn("copied", F.lit(True)), "key", "left").join(gone, "key", "left")
-    discard(texts, cut, symbols, shards, shared, work, opened)
     return rows.select(
         F.col("id").alias(id_col),
         "n_bytes",
@@ -489,6 +556,8 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def met_windows(rows: DataFrame) -> DataFrame:
-    """text_id and place of the windows that at least two places have."""
-    twice = rows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.max(F.col("at").isNotNull()).alias("asked")).filter("n > 1 and asked").select("h", "g")
-    return rows.filter("at is not null").join(twice, ["h", "g"], "left_semi").select("text_id", "at")
+    """text_id and ranges (at, end) of places of the windows asked for that at least two places have, from rows of `window_rows`."""
+    hashed = rows.filter("h is not null")
+    twice = hashed.groupBy("h", "g").agg(F.sum("n").alias("n"), F.max(F.col("at").isNotNull()).alias("asked")).filter("n > 1 and asked").select("h", "g")
+    far = hashed.filter("at is not null").join(twice, ["h", "g"], "left_semi").select("text_id", "at", (F.col("at") + 1).alias("end"))
+    return rows.filter("end is not null").select("text_id", "at", "end").unionByName(far)
