@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.polygons import simple_ring
 from ..functions.semantics import finite
 
 # Scan and granule in a file name, the least population of a major city, and the bounds' tolerance in degrees.
@@ -49,8 +50,8 @@ def footprints(granules: DataFrame) -> DataFrame:
 
     granules: bounds_text (a polygon's text, in either order of its coordinates) and the declared
     lat_min, lat_max, lon_min, lon_max. Points whose bounds are those of latitude before longitude
-    are turned; bounds that fit neither order, an open ring and one of under four points are errors,
-    and such rows keep a null footprint.
+    are turned; bounds that fit neither order, an open ring, one of under four points and one that crosses itself are
+    errors, and such rows keep a null footprint.
     """
     p = F.col("_ring")
     xs, ys = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
@@ -59,7 +60,7 @@ def footprints(granules: DataFrame) -> DataFrame:
     whole = F.coalesce(F.forall(p, lambda q: F.coalesce(finite(q["x"]) & finite(q["y"]), F.lit(False))), F.lit(False)) & (F.size(p) >= 4)
     closed = F.coalesce(F.get(p, 0) == F.element_at(p, -1), F.lit(False))
     as_is, turned = near(["lon_min", "lat_min", "lon_max", "lat_max"]), near(["lat_min", "lon_min", "lat_max", "lon_max"])
-    error = F.when(~whole | ~closed, "no polygon").when(~as_is & ~turned, "the polygon isn't within the declared bounds")
+    error = F.when(~whole | ~closed, "no polygon").when(~as_is & ~turned, "the polygon isn't within the declared bounds").when(~simple_ring(F.col("_ring")), "the polygon crosses itself")
     points = F.when(turned, F.transform(p, lambda q: F.struct(q["y"].alias("x"), q["x"].alias("y")))).otherwise(p)
     rows = granules.withColumn("_ring", ring(F.col("bounds_text"))).withColumn("error", error)
     return rows.withColumn("footprint", F.when(F.col("error").isNull(), points)).drop("_ring")
