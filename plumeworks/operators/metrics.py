@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.work import summed_before
+from ..functions.semantics import finite
+from .order import summed_before
+from .quantiles import quantiles
 
 
 def classification_metrics(frame: DataFrame, classes: int = 3, by: list[str] | None = None) -> DataFrame:
@@ -93,11 +95,30 @@ def reconstruction(frame: DataFrame, methods: list[str]) -> DataFrame:
 
 
 def histogram(frame: DataFrame, value: str, bins: int, low: float = 0.01, high: float = 0.99, by: list[str] | None = None) -> DataFrame:
-    """Counts in equal bins between two quantiles of all values; the edges' bins take what lies beyond."""
-    lim = frame.agg(F.percentile(value, low).alias("_lo"), F.percentile(value, high).alias("_hi"))
-    rows = frame.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(lim))
+    """Counts in equal bins between two exact quantiles of all finite values; the edges' bins take what lies beyond."""
+    rows = frame.filter(finite(F.col(value)))
+    lim = quantiles(rows, [], {"_lo": low, "_hi": high}, value).select("_lo", "_hi")
     b = F.least(F.greatest(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(0)), F.lit(bins - 1))
-    return rows.groupBy(*(by or []), b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return rows.crossJoin(F.broadcast(lim)).groupBy(*(by or []), b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def balance_histogram(frame: DataFrame, value: str, by: list[str], bins: int = 70, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """by, bin, from, to and n of the finite values within the wider of two exact quantiles on both sides of 0, in equal bins; values beyond are left out."""
+    rows = frame.filter(finite(F.col(value)))
+    lim = quantiles(rows, [], {"_lo": low, "_hi": high}, value).select(F.greatest(F.abs("_lo"), F.abs("_hi")).alias("_lim"))
+    lim = lim.select(F.when(F.col("_lim") == 0, 1.0).otherwise(F.col("_lim")).alias("_lim"))
+    place = F.least(F.floor((F.col(value) + F.col("_lim")) / (2 * F.col("_lim")) * bins), F.lit(bins - 1)).cast("int")
+    out = rows.crossJoin(F.broadcast(lim)).filter(F.abs(F.col(value)) <= F.col("_lim")).groupBy(*by, "_lim", place.alias("bin")).agg(F.count("*").alias("n"))
+    width = 2 * F.col("_lim") / bins
+    return out.select(*by, "bin", (F.col("bin") * width - F.col("_lim")).alias("from"), ((F.col("bin") + 1) * width - F.col("_lim")).alias("to"), "n")
+
+
+def class_shares(eligible: DataFrame, balanced: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """by, label, records and share before balancing, and after; a class that is gone has 0."""
+    n = lambda df, name: df.groupBy(*by, label).agg(F.count("*").alias(name))
+    both = n(eligible, "eligible").join(n(balanced, "balanced"), [*by, label], "full").fillna(0, ["eligible", "balanced"])
+    total = lambda c: F.sum(c).over(Window.partitionBy(*by))
+    return both.withColumns({f"{c}_share": F.coalesce(F.col(c) / F.nullif(total(c), F.lit(0)), F.lit(0.0)) for c in ("eligible", "balanced")})
 
 
 def gain_by_tertile(frame: DataFrame, characteristic: str, first: str, second: str, unit: str = "aoi_id", by: list[str] | None = None) -> DataFrame:

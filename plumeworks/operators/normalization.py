@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import finite
+from .quantiles import quantiles
 
 CLIP, LEAST_SCALE, IQR_SCALE = 8.0, 1e-12, 1.349
 
@@ -18,12 +19,25 @@ def safe_scale(x: Column) -> Column:
 
 
 def channel_stats(values: DataFrame, channel: str = "channel", robust: tuple = ()) -> DataFrame:
-    """channel, count, center and scale of finite values: mean and population deviation, or for robust channels median and IQR / 1.349."""
-    rows = values.filter(finite(F.col("value"))).groupBy(channel)
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.agg(F.count("*").alias("count"), F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), q.alias("_q"))
+    """channel, count, center and scale of finite values: mean and population deviation, or for robust channels the exact median and IQR / 1.349. A channel may have any number of values."""
+    rows = values.filter(finite(F.col("value")))
     sturdy = F.col(channel).isin(*robust) if robust else F.lit(False)
-    return out.select(channel, "count", F.when(sturdy, F.col("_q")[1]).otherwise(F.col("_m")).alias("center"), safe_scale(F.when(sturdy, (F.col("_q")[2] - F.col("_q")[0]) / IQR_SCALE).otherwise(F.col("_s"))).alias("scale"))
+    plain = rows.filter(~sturdy).groupBy(channel).agg(F.count("*").alias("count"), F.avg("value").alias("center"), safe_scale(F.stddev_pop("value")).alias("scale"))
+    if not robust:
+        return plain
+    q = quantiles(rows.filter(sturdy), [channel], {"low": 0.25, "center": 0.5, "high": 0.75})
+    return plain.unionByName(q.select(channel, F.col("n").alias("count"), "center", safe_scale((F.col("high") - F.col("low")) / IQR_SCALE).alias("scale")))
+
+
+def training_stats(values: DataFrame, features: DataFrame, names: tuple[str, ...], *, robust: tuple = (), split: str = "train", fixed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(image statistics by channel, statistics by feature: name, count, center, scale) of one split's records alone.
+
+    values: split, channel, value; features: split and a column for each name. With fixed image statistics (channel,
+    count, center, scale), such as those of an earlier training, only the features' are computed.
+    """
+    image = channel_stats(values.filter(F.col("split") == split), robust=robust) if fixed is None else fixed.select("channel", "count", "center", "scale")
+    rows = features.filter(F.col("split") == split).select(F.explode(F.array(*(F.struct(F.lit(n).alias("channel"), F.col(n).cast("double").alias("value")) for n in names))).alias("f")).select("f.*")
+    return image, channel_stats(rows).withColumnRenamed("channel", "name")
 
 
 def clipped_share(values: DataFrame, stats: DataFrame, channel: str = "channel", clip: float = CLIP) -> DataFrame:

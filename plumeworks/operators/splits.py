@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.semantics import seeded_hash, uniform
+from ..tables import materialized
+from .quantiles import order_statistics, same
 
 SPLITS, SHARES, SEED = ("train", "val", "test"), (0.70, 0.15, 0.15), 42
 
@@ -16,51 +22,74 @@ def cluster_counts(frame: DataFrame, cluster: str, category: str | None, classes
     return frame.groupBy(cluster).agg(F.count("*").alias("records"), F.array(*counts).alias("counts"))
 
 
+def folded(schema, total: list[float], n: int, shares: tuple[float, ...], scaled: bool):
+    """Gives clusters, which come one by one in their order, to splits; it holds what each split has so far and no cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, left = len(shares), n
+        wanted = [[t * s for t in total] for s in shares]
+        unit = [[max(w, 1.0) if scaled else 1.0 for w in ws] for ws in wanted]
+        held, used = [[0.0] * len(total) for _ in shares], [0] * k
+        for batch in batches:
+            out = []
+            for counts in batch.column("counts").to_pylist():
+                empty = used.count(0)
+                best, least = 0, None
+                for i in range(k):
+                    if left == empty and used[i]:
+                        continue
+                    gain = sum(((h + c - w) / u) ** 2 for h, c, w, u in zip(held[i], counts, wanted[i], unit[i], strict=True)) - sum(((h - w) / u) ** 2 for h, w, u in zip(held[i], wanted[i], unit[i], strict=True))
+                    gain = round(gain, 12)
+                    if least is None or gain < least:
+                        best, least = i, gain
+                held[best] = [h + c for h, c in zip(held[best], counts, strict=True)]
+                used[best] += 1
+                left -= 1
+                out.append(SPLITS[best])
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), pa.array(out, pa.string())], names=list(schema.names))
+
+    return run
+
+
 def greedy_splits(counts: DataFrame, cluster: str, seed: int = SEED, shares: tuple[float, ...] = SHARES, scaled: bool = True) -> DataFrame:
     """cluster and split: clusters, the largest first, go to the split that leaves the least squared miss of its targets.
 
     With scaled, misses are divided by the target (1 at least) and summed over splits and classes. Equal misses go to the
     earlier split. The last clusters fill splits that are still empty. Fewer clusters than
-    splits are an error. Each choice depends on those before, so that one row per cluster,
-    not of the frame, is folded in order by one expression.
+    splits are an error. Each choice depends on those before, so that one row per cluster, not of the frame, passes
+    through one task in order, as a stream: the task keeps the splits' sums alone.
     """
-    k = len(shares)
-    items = counts.select(F.struct((-F.col("records")).alias("order"), seeded_hash(seed, F.col(cluster)).alias("h"), F.col(cluster).alias("cluster"), F.transform("counts", lambda c: c.cast("double")).alias("counts")).alias("x"))
-    one = items.agg(F.array_sort(F.collect_list("x")).alias("xs"), F.count("*").alias("n"))
-    one = one.withColumn("xs", F.when(F.col("n") >= k, F.col("xs")).otherwise(F.raise_error(F.lit(f"fewer than {k} clusters"))))
-    total = F.aggregate("xs", F.transform(F.col("xs")[0]["counts"], lambda c: F.lit(0.0)), lambda acc, x: F.zip_with(acc, x["counts"], lambda a, b: a + b))
-    one = one.withColumn("total", total)
-    nothing = F.transform("total", lambda c: F.lit(0.0))
-    start = F.struct(F.array(*[nothing] * k).alias("held"), F.array(*[F.lit(0)] * k).alias("used"), F.expr("cast(array() as array<struct<cluster:bigint,split:int>>)").alias("out"))
-
-    def miss(held: Column, share: float) -> Column:
-        parts = F.zip_with(held, F.col("total"), lambda h, t: F.pow((h - t * share) / (F.greatest(t * share, F.lit(1.0)) if scaled else F.lit(1.0)), 2))
-        return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
-
-    def step(acc: Column, x: Column) -> Column:
-        empty = F.aggregate(acc["used"], F.lit(0), lambda a, u: a + F.when(u == 0, 1).otherwise(0))
-        forced = F.col("n") - F.size(acc["out"]) == empty
-        gains = []
-        for i in range(k):
-            joined = F.zip_with(acc["held"][i], x["counts"], lambda a, b: a + b)
-            cost = miss(joined, shares[i]) - miss(acc["held"][i], shares[i])
-            gains.append(F.struct(F.when(forced & (acc["used"][i] > 0), F.lit(float("inf"))).otherwise(F.round(cost, 12)).alias("cost"), F.lit(i).alias("i")))
-        best = F.array_min(F.array(*gains))["i"]
-        held = F.array(*(F.when(best == i, F.zip_with(acc["held"][i], x["counts"], lambda a, b: a + b)).otherwise(acc["held"][i]) for i in range(k)))
-        used = F.array(*(acc["used"][i] + F.when(best == i, 1).otherwise(0) for i in range(k)))
-        return F.struct(held.alias("held"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["cluster"].cast("long").alias("cluster"), best.alias("split")))).alias("out"))
-
-    done = one.select(F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("o"))
-    names = F.array(*(F.lit(s) for s in SPLITS[:k]))
-    return done.select(F.col("o.cluster").alias(cluster), names[F.col("o.split")].alias("split"))
+    items = materialized(counts.select(F.col(cluster).alias("cluster"), "records", seeded_hash(seed, F.col(cluster)).alias("_h"), F.transform("counts", lambda c: c.cast("double")).alias("counts")), "clusters")
+    width = items.agg(F.count("*").alias("n"), F.max(F.size("counts")).alias("width")).first()
+    if width["n"] < len(shares):
+        raise ValueError(f"fewer than {len(shares)} clusters")
+    total = list(items.agg(*(F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(width["width"]))).first())
+    schema = T.StructType([T.StructField(cluster, items.schema["cluster"].dataType), T.StructField("split", T.StringType())])
+    ordered = items.repartition(1).sortWithinPartitions(F.col("records").desc(), "_h", "cluster")
+    return ordered.select("cluster", "counts").mapInArrow(folded(schema, total, width["n"], shares, scaled), schema)
 
 
 def weighted_sample(frame: DataFrame, count: int | Column, weight: Column, identity: list[str], by: list[str] | None = None, seed: int = SEED) -> DataFrame:
-    """`count` rows (in each group `by`) without replacement, chances by weight: the least -ln(u) / weight, u from a seeded hash of the identity."""
+    """`count` rows (in each group `by`; a column has one value in a group) without replacement, chances by weight: the least -ln(u) / weight, u from a
+    seeded hash of the identity; of equal ones the least hash, then identity. A row whose weight is null or NaN is never drawn.
+
+    The key of the last row that is drawn is found by order statistics. Rows below it are drawn where they are, and only
+    those that share this very key are ranked, so that no group is sorted.
+    """
+    by = by or []
     h = seeded_hash(seed, *(F.col(c) for c in identity))
-    rows = frame.withColumn("_h", h).withColumn("_key", -F.log(uniform(F.col("_h"))) / weight)
-    w = Window.partitionBy(*(by or [])).orderBy("_key", "_h", *identity)
-    return rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= count).drop("_h", "_key", "_place")
+    rows = frame.withColumn("_h", h).withColumn("_key", -F.log(uniform(F.col("_h"))) / weight).withColumn("_count", (F.lit(count) if isinstance(count, int) else count).cast("long"))
+    rows = materialized(rows.filter("_key is not null and not isnan(_key)"), "keys")
+    sizes = materialized(rows.groupBy(*by).agg(F.count("*").alias("_n"), F.max("_count").alias("_count")), "key-counts")
+    wanted = sizes.filter("_count > 0 and _count < _n").select(*by, (F.col("_count") - 1).alias("rank"))
+    last = materialized(order_statistics(rows, by, wanted, "_key").select(*by, F.col("value").alias("_last")), "last-keys")
+    cut = rows.alias("r").join(last.alias("l"), same("r", "l", by), "left").select("r.*", "_last").filter("_count > 0")
+    drawn = cut.filter("_last is null or _key < _last")
+    ties = materialized(cut.filter("_key = _last"), "tied-keys")
+    below = drawn.filter("_last is not null").groupBy(*by).agg(F.count("*").alias("_below"))
+    ranked = ties.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_h", *identity)))
+    tied = ranked.alias("t").join(below.alias("b"), same("t", "b", by), "left").filter(F.col("_place") <= F.col("_count") - F.coalesce("_below", F.lit(0)))
+    return drawn.select(*frame.columns).unionByName(tied.select("t.*").select(*frame.columns))
 
 
 def balanced(frame: DataFrame, label: str, classes: tuple[str, ...], identity: list[str], steady: str = "steady", seed: int = SEED, by: str = "split") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialized
+from ..operators.order import numbered, summed_before  # noqa: F401  (used with plans too)
 
 
 def content_key(*columns: Column) -> Column:
@@ -21,36 +21,6 @@ def weather_key(aoi: Column, fields: list[str], path: Column) -> Column:
     return content_key(aoi.alias("aoi"), F.array(*map(F.lit, sorted(fields))).alias("fields"), path.alias("path"))
 
 
-def numbered(frame: DataFrame, order: list[str], by: list[str] | None = None, name: str = "place") -> DataFrame:
-    """Adds a row's place from 0, within `by`, by a total order.
-
-    Ranges are sorted in parallel and each range's offset is added from the ranges'
-    counts, so that no task takes a whole split.
-    """
-    by = by or []
-    rows = frame.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id())
-    rows = materialized(rows, "numbered")
-    local = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1
-    before = rows.groupBy("_part", *by).agg(F.count("*").alias("_n"))
-    before = before.select("_part", *by, F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.withColumn("_local", local).join(before, ["_part", *by]).withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
-
-
-def summed_before(frame: DataFrame, order: list[str], by: list[str], columns: dict[str, str]) -> DataFrame:
-    """Adds, for each new name, the sum of its column over the rows before, within `by` and by a total order; 0 for the first.
-
-    As with places, each sorted range adds up its own rows, and the ranges' sums are its offset.
-    """
-    rows = frame.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id())
-    rows = materialized(rows, "summed")
-    inner = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part", *by).agg(*(F.sum(c).alias(f"_{n}") for n, c in columns.items()))
-    parts = parts.select("_part", *by, *(F.coalesce(F.sum(f"_{n}").over(outer), F.lit(0)).alias(f"_{n}") for n in columns))
-    out = rows.withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in columns.items()}).join(parts, ["_part", *by])
-    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in columns}).drop("_part", *(f"_{n}" for n in columns))
-
-
 def shard_ranges(frame: DataFrame, split: str, size: int) -> DataFrame:
     """shard, split, first and end of consecutive ranges of up to `size` rows in each split."""
     n = frame.groupBy(split).agg(F.count("*").alias("_n"))
