@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import keep_one
 from ..functions.times import nearest_hour
+from ..tables import materialized
 from .work import numbered, scan_key, weather_key
 
 # How weather files are named.
@@ -79,18 +80,19 @@ def record_needs(records: DataFrame, steps: int, root: str, fields: list[str]) -
 
     records: split, record_index, aoi_id, lon, lat and, by step, no2_paths_t{i} (a JSON list's text) and weather_path_t{i}.
     """
-    needs = []
-    for i in range(steps):
-        paths, weather = absolute_paths(F.col(f"no2_paths_t{i}"), root), F.col(f"weather_path_t{i}")
-        bad = F.coalesce(F.size(paths) < 1, F.lit(True)) | F.coalesce(F.exists(paths, lambda p: p.isNull()), F.lit(False))
-        needs.append(F.struct(F.lit(i).alias("step"), F.lit("scan").alias("kind"), F.when(~bad, scan_key(F.col("aoi_id"), F.col("lon"), F.col("lat"), paths)).alias("key"), F.when(~bad, F.array_sort(paths)).alias("paths"), F.when(bad, F.lit(f"no scan paths at step {i}")).alias("error")))
-        needs.append(F.struct(F.lit(i).alias("step"), F.lit("weather").alias("kind"), F.when(weather.isNotNull(), weather_key(F.col("aoi_id"), fields, weather)).alias("key"), F.when(weather.isNotNull(), F.array(weather)).alias("paths"), F.when(weather.isNull(), F.lit(f"no weather path at step {i}")).alias("error")))
-    rows = records.select("split", "record_index", "aoi_id", "lon", "lat", F.explode(F.array(*needs)).alias("_n"))
-    return rows.select("split", "record_index", "aoi_id", "lon", "lat", "_n.*")
+    ids = ["split", "record_index", "aoi_id", "lon", "lat"]
+    each = [F.struct(F.lit(i).alias("step"), F.col(f"no2_paths_t{i}").alias("text"), F.col(f"weather_path_t{i}").alias("weather")) for i in range(steps)]
+    rows = records.select(*ids, F.explode(F.array(*each)).alias("_s")).select(*ids, "_s.step", "_s.weather", F.array_sort(absolute_paths(F.col("_s.text"), root)).alias("paths"))
+    weather, paths, at = F.col("weather"), F.col("paths"), F.col("step").cast("string")
+    bad = F.coalesce((F.size(paths) < 1) | F.exists(paths, lambda p: p.isNull()), F.lit(True))
+    scan = F.struct(F.lit("scan").alias("kind"), F.when(~bad, scan_key(F.col("aoi_id"), F.col("lon"), F.col("lat"), paths)).alias("key"), F.when(~bad, paths).alias("paths"), F.when(bad, F.concat(F.lit("no scan paths at step "), at)).alias("error"))
+    field = F.struct(F.lit("weather").alias("kind"), F.when(weather.isNotNull(), weather_key(F.col("aoi_id"), fields, weather)).alias("key"), F.when(weather.isNotNull(), F.array(weather)).alias("paths"), F.when(weather.isNull(), F.concat(F.lit("no weather path at step "), at)).alias("error"))
+    return rows.select(*ids, "step", F.explode(F.array(scan, field)).alias("_n")).select(*ids, "step", "_n.*")
 
 
 def prepared(needs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Needs of the records that lack nothing, and the others' (split, record_index, error): their first error by step, then kind."""
+    """Needs of the records that lack nothing, and the others' (split, record_index, error): their first error by step, then kind. The needs are worked out once, and written."""
+    needs = materialized(needs, "needs")
     each = needs.groupBy("split", "record_index").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("step", "kind", "error"))).alias("_e"))
     failures = each.filter("_e is not null").select("split", "record_index", F.col("_e.error").alias("error"))
     return needs.join(failures, ["split", "record_index"], "left_anti").drop("error"), failures
