@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.semantics import keep_one
-
+from ..tables import materialized
+from .pages import JsonPages
 
 # The provider's file names, and what counts as a generator with its capacity.
 GRANULE_NAME = r"^TEMPO_NO2_(L2|L3)_(V\d{2})_(\d{8}T\d{6})Z_S(\d{3})(?:G(\d{2}))?\.nc$"
@@ -104,6 +107,20 @@ def required_present(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def facility_attributes(spark: SparkSession, url: str, ids: DataFrame, latest: int, earliest: int, *, key: str = "facilityId", size: int = 500, tries: int = 4) -> DataFrame:
+    """year, facility_id and record (JSON text) of the required facilities, ids: facility_id, from a paged source's years, the newest first.
+
+    A record without a whole number as its facility is left out. A facility that no year has is an error. Each year is one
+    task's; the pages are read once, and written.
+    """
+    spark.dataSource.register(JsonPages)
+    years = json.dumps(list(range(latest, earliest - 1, -1)))
+    rows = spark.read.format("json_pages").options(url=url, queries=years, size=str(size), tries=str(tries)).load()
+    facility = F.get_json_object("record", f"$.{key}").try_cast("long")
+    rows = rows.select(F.col("query").cast("int").alias("year"), facility.alias("facility_id"), "record").filter("facility_id is not null")
+    return required_present(ids, materialized(rows, "attributes"), "facility_id")
+
+
 def write_enriched(source: DataFrame, facility: DataFrame, unit: DataFrame, path: str, keys: tuple[list[str], list[str]]) -> int:
     """Left-joins attributes and writes zstd Parquet, if no row is lost or repeated: attribute keys must be unique, which is checked before."""
     for rows, key in zip((facility, unit), keys, strict=True):
