@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import candidates, masks, metrics, zones
+from ..operators.sequence import CLASSES
+from ..operators.splits import SHARES
 from ..sources import granules as files
 from . import planning
-from .dataset_queries import PRED, _metrics_sql, predictions
-from .queries import BOUNDS, MEM, REC, SEC, facilities, query, records, rounded, table
+from .dataset_queries import DRAW, HASH, PRED, _metrics_sql, predictions
+from .queries import BOUNDS, MEM, ORACLES, REC, SEC, facilities, query, records, rounded, table
 
 # --- granule metadata ------------------------------------------------------------------------------
 
@@ -240,8 +242,40 @@ ci AS (SELECT aoi_id, min({_HAVERSINE}) AS km FROM pl, (VALUES {", ".join(map(st
 SELECT aoi_id, cluster, t3 AS emissions_hour, round(x0, 6) AS t0_nox, round(x3, 6) AS t3_nox, round(r3 * previous + (1 - r3) * x3 - previous, 6) AS delta_nox, round(km, 6) AS city_km, round(heat, 6) AS avg_heat_input, round(pct, 6) AS aoi_score_percentile, {_FILE.format('t0')} AS weather_path_t0
 FROM em JOIN cl USING (aoi_id) JOIN ft USING (aoi_id) JOIN ci USING (aoi_id) JOIN ch USING (aoi_id)""")
 def stratification_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = candidate_rows(spark, sf_dir)
+    return rounded(rows.select("aoi_id", "cluster", F.col("emissions_hour_utc").cast("timestamp_ntz").alias("emissions_hour"), "t0_nox", "t3_nox", "delta_nox", "city_km", "avg_heat_input", "aoi_score_percentile", "weather_path_t0"))
+
+
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("facility_id")
     places = facilities(spark, sf_dir).withColumns({"lon": -120 + u * 37 % 5000 / 100.0, "lat": 26 + u * 61 % 2200 / 100.0})
     scans = table(spark, sf_dir, "events").select(F.col("user_id").alias("aoi_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("scan_time")).distinct()
-    rows = candidates.stratification_candidates(records(spark, sf_dir), places, scans, spark.createDataFrame(list(_CITIES), "lon double, lat double"), bounds=BOUNDS)
-    return rounded(rows.select("aoi_id", "cluster", F.col("emissions_hour_utc").cast("timestamp_ntz").alias("emissions_hour"), "t0_nox", "t3_nox", "delta_nox", "city_km", "avg_heat_input", "aoi_score_percentile", "weather_path_t0"))
+    return candidates.stratification_candidates(records(spark, sf_dir), places, scans, spark.createDataFrame(list(_CITIES), "lon double, lat double"), bounds=BOUNDS)
+
+
+_CLASS = [f"count(*) FILTER (delta_category = '{c}')" for c in CLASSES]
+_MISS = " + ".join("pow((h{i}[{c}] + {n} - t[{c}] * {s}) / greatest(t[{c}] * {s}, 1), 2)".replace("{c}", str(c)).replace("{n}", f"{{x}}n[{c}]") for c in (1, 2, 3))
+_MOVES = ", ".join(f"CASE WHEN k - o.i + 1 = (u[1] = 0)::INT + (u[2] = 0)::INT + (u[3] = 0)::INT AND u[{i + 1}] > 0 THEN 'infinity'::DOUBLE ELSE round(({_MISS.format(i=i, s=s, x='')}) - ({_MISS.format(i=i, s=s, x='0 * ')}), 12) END AS c{i}" for i, s in enumerate(SHARES))
+_GROWN = ", ".join(f"list_transform(list_zip(h{i}, n), lambda z: z[1] + z[2] * (s = {i})::INT) AS h{i}" for i in range(3))
+
+
+@query(ORACLES["stratification_candidates"].split("\nSELECT aoi_id, cluster")[0] + f""",
+cd AS (SELECT em.*, cluster, r3 * previous + (1 - r3) * x3 - previous AS delta FROM em JOIN cl USING (aoi_id) JOIN ft USING (aoi_id) JOIN ci USING (aoi_id) JOIN ch USING (aoi_id)),
+sz AS (SELECT aoi_id, median(x) AS scale FROM (SELECT aoi_id, unnest([x0, x1, x2, x3]) AS x FROM cd) WHERE x > 0 GROUP BY 1),
+lb AS (SELECT aoi_id, cluster, t3, delta / (1 - r3) AS innovation, greatest(20, 0.25 * scale) AS threshold FROM cd JOIN sz USING (aoi_id)),
+ld AS (SELECT *, CASE WHEN innovation >= threshold THEN 'increase' WHEN innovation <= -threshold THEN 'decrease' ELSE 'steady' END AS delta_category FROM lb),
+el AS (SELECT * FROM ld WHERE aoi_id IN (SELECT aoi_id FROM ld GROUP BY 1 HAVING least({", ".join(_CLASS)}) >= 1)),
+cc AS (SELECT cluster, count(*) AS records, [{", ".join(f"{c}::DOUBLE" for c in _CLASS)}] AS n FROM el GROUP BY 1),
+o AS (SELECT cluster, n, row_number() OVER (ORDER BY records DESC, {HASH.format("'42|' || cluster")}, cluster)::INT AS i, [sum(n[1]) OVER (), sum(n[2]) OVER (), sum(n[3]) OVER ()] AS t, count(*) OVER () AS k FROM cc),
+g AS (SELECT 0 AS i, [0, 0, 0]::DOUBLE[] AS h0, [0, 0, 0]::DOUBLE[] AS h1, [0, 0, 0]::DOUBLE[] AS h2, [0, 0, 0] AS u, NULL::BIGINT AS cluster, NULL::INT AS s
+  UNION ALL SELECT i, {_GROWN}, [u[1] + (s = 0)::INT, u[2] + (s = 1)::INT, u[3] + (s = 2)::INT], cluster, s
+  FROM (SELECT *, CASE WHEN c0 <= c1 AND c0 <= c2 THEN 0 WHEN c1 <= c2 THEN 1 ELSE 2 END AS s FROM (SELECT o.i, o.n, o.cluster, h0, h1, h2, u, {_MOVES} FROM g JOIN o ON o.i = g.i + 1))),
+sp AS (SELECT el.*, ['train', 'val', 'test'][s + 1] AS split FROM el JOIN g USING (cluster)),
+ls AS (SELECT split, least({", ".join(_CLASS)}) AS n FROM sp GROUP BY 1),
+wt AS (SELECT *, CASE WHEN delta_category = 'steady' THEN least(1, greatest(0.01, 1 - abs(innovation) / threshold)) ELSE 1 END AS weight FROM sp JOIN ls USING (split))
+SELECT split, aoi_id, t3 AS emissions_hour, delta_category, round(innovation, 5) AS innovation, round(threshold, 6) AS threshold FROM wt
+QUALIFY row_number() OVER (PARTITION BY split, delta_category ORDER BY {DRAW.format("'42|' || aoi_id || '|' || t3")} / weight, aoi_id, t3) <= n""")
+def stratified_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From hourly facts, facilities and scans to balanced splits in one run."""
+    balanced = candidates.stratified(candidate_rows(spark, sf_dir), least=1, floors=(20.0, 0.25))[0]
+    return balanced.select("split", "aoi_id", F.col("t3_timestamp").cast("timestamp_ntz").alias("emissions_hour"), "delta_category", F.round("innovation", 5).alias("innovation"), F.round("threshold", 6).alias("threshold"))
