@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,14 +103,14 @@ def grown(identifiers: Sequence[str], seed: int, rows: int, cols: int) -> np.nda
 def visible_mask(identifier: Column, seed: int, rows: int, cols: int) -> Column:
     """An array of rows * cols cells, 1 where a record's raster stays visible; null for a null identifier. Masks of an Arrow batch grow together."""
 
-    @F.pandas_udf("array<int>")
-    def masks(ids: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(ids), dtype=object)
-        known = np.flatnonzero(ids.notna())
-        for i in range(0, len(known), TOGETHER):
-            part = known[i : i + TOGETHER]
-            for j, mask in zip(part, grown([ids.iloc[k] for k in part], seed, rows, cols), strict=True):
-                out.iat[j] = mask
-        return out
+    @F.arrow_udf("array<int>")
+    def masks(ids: pa.Array) -> pa.Array:
+        names = ids.to_pylist()
+        known = [i for i, x in enumerate(names) if x is not None]
+        cells = [grown([names[i] for i in known[k : k + TOGETHER]], seed, rows, cols) for k in range(0, len(known), TOGETHER)]
+        size = np.zeros(len(names) + 1, np.int32)
+        size[np.array(known, int) + 1] = rows * cols
+        flat = pa.array(np.concatenate(cells).ravel() if cells else np.zeros(0, np.int32), pa.int32())
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), flat, mask=ids.is_null())
 
     return masks(identifier.cast("string"))
