@@ -82,13 +82,17 @@ def made(size: int, cell: float, max_cloud: float, good: int):
         p["corners"] = np.where(sizes[0] == sizes[1], sizes[0], -1)
         p["first"] = np.cumsum(sizes[0]) - sizes[0]
         p |= {c: np.asarray(corner[c].flatten()).astype(float) for c in ("cx", "cy")}
-        out = []
-        for key, x, y in zip(*(areas.column(c).to_pylist() for c in ("key", "x", "y")), strict=True):
+        keys, errors, fields = areas.column("key").to_pylist(), [], []
+        for x, y in zip(areas.column("x").to_pylist(), areas.column("y").to_pylist(), strict=True):
             try:
-                out.append({"key": key, "error": None} | {c: v.tolist() for c, v in raster_of(x, y, p, size, cell, max_cloud, good).items()})
+                fields.append(raster_of(x, y, p, size, cell, max_cloud, good))
+                errors.append(None)
             except (IndexError, TypeError, ValueError) as error:
-                out.append({"key": key, "error": f"regridding failed: {error}"})
-        return pa.Table.from_pylist(out, schema=RASTERS)
+                errors.append(f"regridding failed: {error}")
+        ends = pa.array(np.cumsum([0, *(0 if e else size * size for e in errors)], dtype=np.int32))
+        gone = pa.array([e is not None for e in errors], pa.bool_())
+        column = lambda c: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[c].astype(float) for f in fields]) if fields else np.zeros(0)), mask=gone)
+        return pa.table([pa.array(keys, pa.string()), pa.array(errors, pa.string()), *(column(c) for c in EMPTY)], schema=RASTERS)
 
     return run
 
