@@ -21,8 +21,8 @@ from .shared import arrow_rows, saved
 
 #: Parts of a vector, entries of a codebook, rounds of refinement and the scale of the integers.
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Entries of a tree's leaf.
-LEAF = 16
+#: Entries of a tree's leaf: a leaf's distances are one matrix product, which costs less than the visits that smaller leaves would need.
+LEAF = 64
 #: Integer components up to this size have exact squared distances in doubles, and up to LARGEST in 64 bits.
 EXACT, LARGEST = 1 << 22, 1 << 28
 
