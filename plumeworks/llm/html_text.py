@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect
+from collections import Counter
 from itertools import pairwise
 from typing import NamedTuple
 
@@ -59,6 +60,11 @@ _HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 _RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 
 
+def last(path: str) -> str:
+    """The innermost element of a path, with the slash before it."""
+    return path[path.rfind("/") :] if path else ""
+
+
 class Element:
     """An open element: its name and path, the path of the outermost hinted element around it ('' without), and whether it is in an article."""
 
@@ -81,7 +87,7 @@ class Block(NamedTuple):
         return HINTED if self.hinted else IN_REGION if self.region else PLAIN
 
     def is_menu(self) -> bool:
-        return self.linked > MENU * len(self.text) and not _HEADING.search(self.path)
+        return self.linked > MENU * len(self.text) and not _HEADING.search(last(self.path))
 
 
 def hidden_by(attributes: str, region: bool) -> tuple[bool, str]:
@@ -106,6 +112,7 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
     at, in_link, linked = 0, False, 0
     root = Element("", "", "", False)
     stack, frame, out, text = [root], [], [], []
+    opened: Counter[str] = Counter()
 
     def close_block() -> None:
         nonlocal linked
@@ -116,10 +123,14 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
                 out.append(Block(" ".join(words), stack[-1].path, stack[-1].hinted, stack[-1].region, linked))
         linked = 0
 
+    def close_from(i: int) -> None:
+        opened.subtract(e.name for e in stack[i:])
+        del stack[i:]
+
     def pop_to(names, stop=frozenset(("table", "ul", "ol", "dl", "article", "section", "div", "main", "nav", "footer", "aside"))) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
-                del stack[i:]
+                close_from(i)
                 return
             if stack[i].name in stop:
                 return
@@ -140,11 +151,11 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
             text.append(" ")
             continue
         if m[1]:
-            if name == "p" or any(e.name == name for e in stack):
+            if name == "p" or opened[name]:
                 close_block()
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
-                        del stack[i:]
+                        close_from(i)
                         break
             continue
         close_block()
@@ -157,17 +168,18 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
             continue
         if name in VOID:
             continue
-        if name in ENDS_P and any(e.name == "p" for e in stack):
+        if name in ENDS_P and opened["p"]:
             pop_to({"p"})
         if name in ENDS_LIKE:
             pop_to(ENDS_LIKE[name])
         if name == "body":
             pop_to({"head"})
-        up = stack[-1]
-        hint, first = hidden_by(m[3], up.region) if len(m[3]) > 1 else (False, "")
-        path = f"{up.path}/{name}.{first}" if first else f"{up.path}/{name}"
-        hinted = up.hinted or (path if name in NOT_TEXT or hint or name == "header" and not up.region else "")
-        stack.append(Element(name, path, hinted, up.region or name in REGION and not hinted))
+        around = stack[-1]
+        hint, first = hidden_by(m[3], around.region) if len(m[3]) > 1 else (False, "")
+        path = f"{around.path}/{name}.{first}" if first else f"{around.path}/{name}"
+        hinted = around.hinted or (path if name in NOT_TEXT or hint or name == "header" and not around.region else "")
+        stack.append(Element(name, path, hinted, around.region or name in REGION and not hinted))
+        opened[name] += 1
         frame.append(path)
     if at < len(page):
         text.append(page[at:])
@@ -217,31 +229,48 @@ def within(path: str, element: str) -> bool:
     return not element or path == element or path.startswith(element + "/")
 
 
-def bounds_of(path: str, elements: set[str]) -> list[str]:
-    """The elements around a block, from the page inwards; the last bounds its slot."""
-    names = path.split("/")
-    return [x for i in range(len(names)) if (x := "/".join(names[: i + 1])) in elements]
+def up(path: str) -> str:
+    """The path of the element around an element."""
+    return path.rpartition("/")[0]
+
+
+def slot_of(path: str, elements: set[str], known: dict[str, str]) -> str:
+    """The innermost of the elements at or around a path; '' is one. known: what was found before for this page, so that each path is climbed once."""
+    climbed, at = [], path
+    while at not in known:
+        if at in elements:
+            known[at] = at
+        else:
+            climbed.append(at)
+            at = up(at)
+    for x in climbed:
+        known[x] = known[at]
+    return known[path]
 
 
 def slot_sums(frame: list[str], blocks: list[Block], classes: list[list[int]] | None) -> dict[str, list[float]]:
     """For each of the template's elements: the worth of the page's own text in it, and the characters, and those in links, of its own slot."""
     elements, template = template_of(frame, blocks, classes)
     sums: dict[str, list[float]] = {x: [0.0, 0.0, 0.0] for x in elements}
+    known: dict[str, str] = {}
     for b in blocks:
         if number("text", b.path, b.text) in template:
             continue
-        around = bounds_of(b.path, elements)
-        for x in around:
-            sums[x][0] += 0.0 if b.is_menu() else len(b.text) * b.weight()
-        sums[around[-1]][1] += len(b.text)
-        sums[around[-1]][2] += min(b.linked, len(b.text))
+        own = sums[slot_of(b.path, elements, known)]
+        own[0] += 0.0 if b.is_menu() else len(b.text) * b.weight()
+        own[1] += len(b.text)
+        own[2] += min(b.linked, len(b.text))
+    # An element's worth counts in all around it: from the longest path to the shortest, each adds to the next one up.
+    for x in sorted(elements, key=len, reverse=True):
+        if x:
+            sums[slot_of(up(x), elements, known)][0] += sums[x][0]
     return sums
 
 
 def main_element(sums: dict[str, list[float]]) -> str:
     """The deepest element that holds the share HOLDS of the text, parts of a text aside; where it lies in an article, that."""
     least = HOLDS * sums[""][0]
-    found = max((x for x in sums if sums[x][0] >= least and not _PART.search(x)), key=lambda x: (x.count("/"), sums[x][0], x))
+    found = max((x for x in sums if sums[x][0] >= least and not _PART.search(last(x))), key=lambda x: (x.count("/"), sums[x][0], x))
     region = _REGION.match(found)
     return region[1] if region and region[1] in sums else found
 
@@ -255,13 +284,13 @@ def main_text(page: str, classes: list[list[int]] | None = None, main: str | Non
     elements, template = template_of(frame, blocks, classes)
     if main is None or main and main not in frame:
         main, menus = main_element(slot_sums(frame, blocks, classes)), ()
-    up = main.rpartition("/")[0]
+    beside, known = up(main), {}
     out = []
     for b in blocks:
-        heading = main and not b.hinted and _HEADING.search(b.path) and b.path.rpartition("/")[0] == up
+        heading = main and not b.hinted and _HEADING.search(last(b.path)) and up(b.path) == beside
         if not (heading or within(b.path, main)) or number("text", b.path, b.text) in template:
             continue
-        if b.hinted and not within(main, b.hinted) or bounds_of(b.path, elements)[-1] in menus:
+        if b.hinted and not within(main, b.hinted) or menus and slot_of(b.path, elements, known) in menus:
             continue
         out.append(b.text)
     return "\n".join(out)

@@ -79,3 +79,12 @@ def test_classes_are_those_of_the_occurrence_vectors(spark):
     rows = [(h, p) for h, some in pages.items() for p in some + some[:3]]
     got = {r["host"]: {frozenset(c) for c in r["template"]} for r in html_text.templates(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()}
     assert got == {h: plain_classes(some) for h, some in pages.items()}
+
+
+def test_deep_nesting_is_parsed_in_linear_time():
+    import time
+
+    page = "<html><body>" + "".join(f"<div>word{i} " for i in range(4000))
+    began = time.time()
+    text = html_text.main_text(page)
+    assert time.time() - began < 2 and text.split("\n")[-1] == "word3999"
