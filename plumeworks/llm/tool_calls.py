@@ -62,11 +62,17 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def references(value) -> set[str]:
-    """Identifiers of calls whose results an argument takes: {"$result": id} anywhere in it."""
-    if isinstance(value, dict):
-        own = {value["$result"]} if isinstance(value.get("$result"), str) else set()
-        return own.union(*map(references, value.values()))
-    return set().union(*map(references, value)) if isinstance(value, list) else set()
+    """Identifiers of calls whose results an argument takes: {"$result": id} anywhere in it, however deep."""
+    found, left = set(), [value]
+    while left:
+        x = left.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get("$result"), str):
+                found.add(x["$result"])
+            left.extend(x.values())
+        elif isinstance(x, list):
+            left.extend(x)
+    return found
 
 
 def loaded(text: str | None):
@@ -93,12 +99,16 @@ def parts(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[
             wrong, given = [], call.get("arguments")
             if isinstance(given, str):
                 given = loaded(given)
-            if not isinstance(given, dict):
-                wrong, given = ["$: not object"], {}
-            elif call.get("name") in schemas:
-                wrong = faults(given, schemas[call["name"]])
-            elif schemas:
-                wrong = ["no such tool"]
+            try:
+                if not isinstance(given, dict):
+                    wrong, given = ["$: not object"], {}
+                elif call.get("name") in schemas:
+                    wrong = faults(given, schemas[call["name"]])
+                elif schemas:
+                    wrong = ["no such tool"]
+                canonical({"arguments": {"": given}})
+            except RecursionError:  # nested so deep that it can't be compared or written
+                wrong, given = ["$: nested too deep"], {}
             key, name = (call.get(k) if isinstance(call.get(k), str) else None for k in ("id", "name"))
             out.append({"kind": "call", "call_id": key, "name": name, "errors": wrong, "refs": sorted(references(given)), "json": canonical({"arguments": given, "id": key, "name": name, "role": "assistant"})})
         return out

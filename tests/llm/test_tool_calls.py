@@ -48,3 +48,11 @@ def test_bad_schemas_and_enums():
     assert tool_calls.faults(3, {"minimum": "low"}) == ["$: bad schema"]
     assert tool_calls.faults({"x": 1}, {"properties": {"x": "number"}}) == ["$.x: bad schema"]
     assert tool_calls.faults(True, {"enum": [1]}) == ["$: not in enum"] and tool_calls.faults(1.0, {"enum": [1]}) == []
+
+
+def test_arguments_nested_deep_do_not_fail():
+    for n in (100, 1200, 3000, 20000):
+        deep = "[" * n + '{"$result": "y"}' + "]" * n
+        for given in ('{"a": ' + deep + "}", json.dumps('{"a": ' + deep + "}")):
+            (part,) = tool_calls.parts("assistant", '{"tool_calls": [{"id": "x", "name": "f", "arguments": ' + given + "}]}", {"f": {"type": "object"}})
+            assert part["kind"] == "message" or part["errors"] or part["refs"] == ["y"]
