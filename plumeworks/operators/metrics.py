@@ -129,3 +129,18 @@ def gain_by_tertile(frame: DataFrame, characteristic: str, first: str, second: s
     right = lambda c: F.avg((F.col("truth") == F.col(c)).cast("double"))
     out = rows.groupBy(*by, "stratum").agg(F.count_distinct(unit).alias("aoi_count"), F.count("*").alias("record_count"), F.min("_v").alias("value_min"), F.max("_v").alias("value_max"), right(first).alias(f"{first}_accuracy"), right(second).alias(f"{second}_accuracy"))
     return out.withColumn("accuracy_gain", F.col(f"{second}_accuracy") - F.col(f"{first}_accuracy"))
+
+
+def cohort_histogram(frame: DataFrame, value: str, cohort: str, bins: int = 30, low: float = 0.01, high: float = 0.99, log: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(histogram, medians) of a characteristic in cohorts of units: cohort, bin and n of the finite values between two exact quantiles of all, the
+    ends included, in equal bins; and cohort, median (as it is) and n. With log, the histogram is of log10(1 + x), values below 0 as 0.
+
+    Quantiles that are equal are taken half a unit apart on both sides.
+    """
+    rows = frame.filter(finite(F.col(value))).select(cohort, F.col(value).cast("double").alias("raw"))
+    medians = quantiles(rows, [cohort], {"median": 0.5}, "raw")
+    rows = rows.withColumn("_v", F.log10(1 + F.greatest("raw", F.lit(0.0))) if log else F.col("raw"))
+    ends = quantiles(rows, [], {"_lo": low, "_hi": high}, "_v").select(F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"), F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
+    place = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
+    inside = rows.crossJoin(F.broadcast(ends)).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    return inside.groupBy(cohort, place.alias("bin")).agg(F.count("*").alias("n")), medians

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,11 +67,14 @@ def masked_l1(prediction: Column, target: Column, mask: Column) -> Column:
     return F.sum(F.abs(prediction - target) * mask) / F.sum(mask)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it: otherwise an expression of expressions grows with a power of its layers."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda z: F.exp(z - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(e, lambda z: z / total)
+    exponents = let(logits, lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda z: F.exp(z - top))))
+    return let(exponents, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda z: z / total)))
 
 
 def argmax(x: Column) -> Column:
@@ -90,14 +94,16 @@ def edge_weight(row: Column, col: Column, rows: int, cols: int) -> Column:
 
 def linear_layer(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
     """Weights times an array column, and the bias."""
-    return F.array(*(F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(float(c)), lambda a, b: a + b) for w, c in zip(weights, bias, strict=True)))
+    dot = lambda v, w: F.aggregate(F.zip_with(v, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return let(x, lambda v: F.array(*(dot(v, w) + float(c) for w, c in zip(weights, bias, strict=True))))
 
 
 def layer_norm(x: Column, gain: list[float], shift: list[float], eps: float = 1e-5) -> Column:
     n = float(len(gain))
-    mean = F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / n
-    var = F.aggregate(x, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean)) / n
-    return F.zip_with(F.zip_with(x, F.array(*map(F.lit, gain)), lambda v, g: (v - mean) / F.sqrt(var + eps) * g), F.array(*map(F.lit, shift)), lambda v, b: v + b)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    spread = lambda v, mean: total(F.transform(v, lambda b: (b - mean) * (b - mean))) / n
+    scaled = lambda v, mean, var: F.zip_with(F.zip_with(v, F.array(*map(F.lit, gain)), lambda y, g: (y - mean) / F.sqrt(var + eps) * g), F.array(*map(F.lit, shift)), lambda y, b: y + b)
+    return let(x, lambda v: let(total(v) / n, lambda mean: let(spread(v, mean), lambda var: scaled(v, mean, var))))
 
 
 def silu(x: Column) -> Column:

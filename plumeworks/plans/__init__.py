@@ -7,7 +7,7 @@ as the operators use this package's intermediate tables.
 
 def __getattr__(name: str):
     if name in ("QUERIES", "ORACLES"):
-        from . import batch_queries, dataset_queries, planning_queries, queries, record_queries  # noqa: F401  (registers their queries)
+        from . import batch_queries, dataset_queries, planning_queries, queries, record_queries, report_queries  # noqa: F401  (registers their queries)
 
         return getattr(queries, name)
     raise AttributeError(name)

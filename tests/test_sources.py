@@ -117,3 +117,22 @@ def test_tables_from_files(spark, tmp_path):
     storage.write_partitions(rows, f"{tmp_path}/parts", ["year", "month"], ["id"])
     storage.write_partitions(rows.filter("month = 2").withColumn("id", F.lit(9)), f"{tmp_path}/parts", ["year", "month"])
     assert sorted((r["id"], r["month"]) for r in spark.read.parquet(f"{tmp_path}/parts").collect()) == [(1, 1), (9, 2)]
+
+
+def test_results_and_statistics_as_files(spark, tmp_path):
+    metrics = spark.createDataFrame([("a", "val", 0.5, 2), ("a", "test", 0.25, 4), ("b", "val", 1.0, 2)], "model string, split string, accuracy double, n int")
+    rows = spark.createDataFrame([("a", "val", 1, [0.5, 0.5]), ("a", "test", 2, None), ("b", "val", 1, [1.0])], "model string, split string, record int, p array<double>")
+    for _ in range(2):  # a second run replaces the first
+        storage.write_results(metrics, rows, f"{tmp_path}/run", primary="a", classes=["down", "up"], extra={"comparison": {"val": 0.5}})
+    found = json.loads((tmp_path / "run/results.json").read_text())
+    assert found["splits"] == {"val": {"accuracy": 0.5, "n": 2}, "test": {"accuracy": 0.25, "n": 4}} and found["models"]["b"] == {"val": {"accuracy": 1.0, "n": 2}}
+    assert (found["primary_model"], found["class_names"], found["comparison"]) == ("a", ["down", "up"], {"val": 0.5})
+    read = spark.read.csv(f"{tmp_path}/run/predictions", header=True)
+    assert sorted((r["model"], r["split"], r["record"], r["p"]) for r in read.collect()) == [("a", "test", "2", "[]"), ("a", "val", "1", "[0.5,0.5]"), ("b", "val", "1", "[1.0]")]
+    with pytest.raises(ValueError, match="no metrics of c"):
+        storage.write_results(metrics, rows, f"{tmp_path}/other", primary="c", classes=[])
+    image = spark.createDataFrame([("no2", 3, 0.5, 2.0)], "channel string, count long, center double, scale double")
+    seasonal = spark.createDataFrame([("day", 3, 0.0, 1.0)], "name string, count long, center double, scale double")
+    storage.write_stats(image, seasonal, f"{tmp_path}/stats.json")
+    assert json.loads((tmp_path / "stats.json").read_text()) == {"image": {"no2": {"count": 3, "center": 0.5, "scale": 2.0}}, "features": {"day": {"count": 3, "center": 0.0, "scale": 1.0}}}
+    assert not list(tmp_path.rglob("*.part"))
