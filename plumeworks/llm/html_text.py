@@ -13,7 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect
-from collections import Counter
+from collections import defaultdict
 from itertools import pairwise
 from typing import NamedTuple
 
@@ -112,7 +112,7 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
     at, in_link, linked = 0, False, 0
     root = Element("", "", "", False)
     stack, frame, out, text = [root], [], [], []
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, int] = defaultdict(int)
 
     def close_block() -> None:
         nonlocal linked
@@ -124,7 +124,8 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
         linked = 0
 
     def close_from(i: int) -> None:
-        opened.subtract(e.name for e in stack[i:])
+        for e in stack[i:]:
+            opened[e.name] -= 1
         del stack[i:]
 
     def pop_to(names, stop=frozenset(("table", "ul", "ol", "dl", "article", "section", "div", "main", "nav", "footer", "aside"))) -> None:
