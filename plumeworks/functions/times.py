@@ -16,7 +16,9 @@ GPS_EPOCH = 315964800
 def gps_to_utc(seconds: Column) -> Column:
     """UTC timestamp of GPS seconds, to the microsecond."""
     leaps = sum((F.when(seconds >= t, 1).otherwise(0) for t in LEAPS), F.lit(0))
-    return F.timestamp_micros(F.round((seconds + GPS_EPOCH - leaps) * 1e6).cast("long"))
+    # Whole seconds apart, as microseconds of late years aren't whole doubles.
+    whole = F.floor(seconds).cast("long")
+    return F.timestamp_micros((whole + GPS_EPOCH - leaps) * 1_000_000 + F.round((seconds - whole) * 1e6).cast("long"))
 
 
 def local_standard_to_utc(date: Column, hour: Column, offset_hours: Column) -> Column:
