@@ -96,12 +96,13 @@ def overlapped_hours(windows: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def overlap_weighted(windows: DataFrame, hourly: DataFrame, keys: tuple[str, ...], start: str = "previous", end: str = "current") -> DataFrame:
-    """For each window (aoi_id and keys) the mean of hourly delta_nox by overlap; null unless all of the overlap has a finite one."""
+    """For each window (aoi_id and keys) the mean of hourly delta_nox by overlap; null unless all of the overlap has a finite one, NaN for overlaps without a whole second."""
     rows = overlapped_hours(windows, start, end).join(hourly.select("aoi_id", F.col("hour").alias("_hour"), "delta_nox"), ["aoi_id", "_hour"], "left")
     good = finite(F.col("delta_nox"))
     covered = F.sum(F.when(good, F.col("overlap_s")))
-    mean = F.sum(F.when(good, F.col("delta_nox") * F.col("overlap_s"))) / F.sum("overlap_s")
-    return rows.groupBy("aoi_id", *keys).agg(F.when(covered == F.sum("overlap_s"), mean).alias("delta_nox"))
+    total = F.sum("overlap_s")
+    mean = F.when(total == 0, float("nan")).otherwise(F.try_divide(F.sum(F.when(good, F.col("delta_nox") * F.col("overlap_s"))), total))
+    return rows.groupBy("aoi_id", *keys).agg(F.when(covered == total, mean).alias("delta_nox"))
 
 
 def best_overlap(scans: DataFrame, bounds: tuple[float, float] = GAP_MINUTES) -> DataFrame:

@@ -9,3 +9,13 @@ def test_gps_microseconds_of_late_years(spark):
     seconds = [5_999_999 * 130000.0 + 0.25, 46828800.5, -0.75]
     got = [r.m for r in spark.createDataFrame([(s,) for s in seconds], "s double").select(F.unix_micros(times.gps_to_utc(F.col("s"))).alias("m")).collect()]
     assert got == [(5_999_999 * 130000 + 315964800 - 18) * 1_000_000 + 250_000, (46828800 + 315964800 - 1) * 1_000_000 + 500_000, 315964800 * 1_000_000 - 750_000]
+
+
+def test_windows_within_a_second_are_no_error(spark):
+    from plumeworks.operators import sequence
+
+    t = "timestamp_ntz '2024-01-01 05:00:00.1'"
+    windows = spark.sql(f"SELECT 1L AS aoi_id, 1L AS k, {t} AS previous, {t} + interval 300 milliseconds AS current UNION ALL SELECT 1L, 2L, {t}, {t} + interval 2 seconds")
+    hourly = spark.sql("SELECT 1L AS aoi_id, timestamp_ntz '2024-01-01 05:00:00' AS hour, 3D AS delta_nox")
+    got = {r.k: r.delta_nox for r in sequence.overlap_weighted(windows, hourly, ("k",)).collect()}
+    assert got[1] != got[1] and got[2] == 3.0
