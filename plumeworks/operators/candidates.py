@@ -57,17 +57,17 @@ def stratification_candidates(records: DataFrame, facilities: DataFrame, scans:
     return eligible(frame, steps).filter(finite(F.col("delta_nox")))
 
 
-def stratified(frame: DataFrame, *, least: int, floors: tuple[float, float] = (sequence.ABSOLUTE_FLOOR, sequence.RELATIVE_FLOOR), steps: int = sequence.STEPS, seed: int = splits.SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def stratified(frame: DataFrame, *, least: int, floors: tuple[float, float] = (sequence.ABSOLUTE_FLOOR, sequence.RELATIVE_FLOOR), steps: int = sequence.STEPS, seed: int = splits.SEED, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(balanced, eligible, audit) of candidates: the rest of the way from labels to splits.
 
     Candidates get their class by innovation; AOIs with fewer than `least` of a class go, as the audit (aoi_id, a count for each
     class, passes) tells; whole clusters go to train, val or test by their classes' counts; and each split is balanced to
-    its rarest class. eligible is what was there before balancing. Fewer clusters than splits, and a split that lacks a class, are errors.
+    its rarest class. eligible is what was there before balancing. Fewer clusters than splits, and a split that lacks a class, are errors unless strict is off: then such splits stay empty.
     """
     labelled = materialized(sequence.innovation_labels(frame, steps, floors=floors), "labelled")
     kept, audit = activity.class_floor(labelled, "aoi_id", "delta_category", sequence.CLASSES, least)
     kept = materialized(kept, "above-floor")
-    assigned = splits.greedy_splits(splits.cluster_counts(kept, "cluster", "delta_category", sequence.CLASSES), "cluster", seed)
+    assigned = splits.greedy_splits(splits.cluster_counts(kept, "cluster", "delta_category", sequence.CLASSES), "cluster", seed, strict=strict)
     eligible = materialized(kept.join(assigned, "cluster"), "eligible")
-    balanced = splits.balanced(eligible, "delta_category", sequence.CLASSES, ["aoi_id", f"t{steps - 1}_timestamp"], seed=seed)
+    balanced = splits.balanced(eligible, "delta_category", sequence.CLASSES, ["aoi_id", f"t{steps - 1}_timestamp"], seed=seed, strict=strict)
     return balanced, eligible, audit

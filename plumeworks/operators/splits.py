@@ -51,19 +51,19 @@ def folded(schema, total: list[float], n: int, shares: tuple[float, ...], scaled
     return run
 
 
-def greedy_splits(counts: DataFrame, cluster: str, seed: int = SEED, shares: tuple[float, ...] = SHARES, scaled: bool = True) -> DataFrame:
+def greedy_splits(counts: DataFrame, cluster: str, seed: int = SEED, shares: tuple[float, ...] = SHARES, scaled: bool = True, strict: bool = True) -> DataFrame:
     """cluster and split: clusters, the largest first, go to the split that leaves the least squared miss of its targets.
 
     With scaled, misses are divided by the target (1 at least) and summed over splits and classes. Equal misses go to the
     earlier split. The last clusters fill splits that are still empty. Fewer clusters than
-    splits are an error. Each choice depends on those before, so that one row per cluster, not of the frame, passes
+    splits are an error; if not strict, some splits stay empty. Each choice depends on those before, so that one row per cluster, not of the frame, passes
     through one task in order, as a stream: the task keeps the splits' sums alone.
     """
     items = materialized(counts.select(F.col(cluster).alias("cluster"), "records", seeded_hash(seed, F.col(cluster)).alias("_h"), F.transform("counts", lambda c: c.cast("double")).alias("counts")), "clusters")
     width = items.agg(F.count("*").alias("n"), F.max(F.size("counts")).alias("width")).first()
-    if width["n"] < len(shares):
+    if strict and width["n"] < len(shares):
         raise ValueError(f"fewer than {len(shares)} clusters")
-    total = list(items.agg(*(F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(width["width"]))).first())
+    total = list(items.agg(*(F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(width["width"]))).first()) if width["n"] else []
     schema = T.StructType([T.StructField(cluster, items.schema["cluster"].dataType), T.StructField("split", T.StringType())])
     ordered = items.repartition(1).sortWithinPartitions(F.col("records").desc(), "_h", "cluster")
     return ordered.select("cluster", "counts").mapInArrow(folded(schema, total, width["n"], shares, scaled), schema)
@@ -92,13 +92,13 @@ def weighted_sample(frame: DataFrame, count: int | Column, weight: Column, ident
     return drawn.select(*frame.columns).unionByName(tied.select("t.*").select(*frame.columns))
 
 
-def balanced(frame: DataFrame, label: str, classes: tuple[str, ...], identity: list[str], steady: str = "steady", seed: int = SEED, by: str = "split") -> DataFrame:
+def balanced(frame: DataFrame, label: str, classes: tuple[str, ...], identity: list[str], steady: str = "steady", seed: int = SEED, by: str = "split", strict: bool = True) -> DataFrame:
     """As many rows of each class in each split as its rarest class has; the steady class by weight, those far from the threshold more likely.
 
-    frame has innovation and threshold. A split that lacks a class is an error.
+    frame has innovation and threshold. A split that lacks a class is an error; if not strict, it has no rows.
     """
     least = frame.groupBy(by).agg(*(F.count_if(F.col(label) == c).alias(f"_{c}") for c in classes))
     n = F.least(*(F.col(f"_{c}") for c in classes))
-    least = least.select(by, F.when(n > 0, n).otherwise(F.raise_error(F.concat(F.lit("a class is missing in "), F.col(by)))).alias("_least"))
+    least = least.select(by, (F.when(n > 0, n).otherwise(F.raise_error(F.concat(F.lit("a class is missing in "), F.col(by)))) if strict else n).alias("_least"))
     weight = F.when(F.col(label) == steady, F.least(F.lit(1.0), F.greatest(F.lit(0.01), 1 - F.abs(F.col("innovation")) / F.col("threshold")))).otherwise(F.lit(1.0))
     return weighted_sample(frame.join(F.broadcast(least), by), F.col("_least"), weight, identity, [by, label], seed).drop("_least")

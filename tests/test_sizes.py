@@ -19,3 +19,14 @@ def test_windows_within_a_second_are_no_error(spark):
     hourly = spark.sql("SELECT 1L AS aoi_id, timestamp_ntz '2024-01-01 05:00:00' AS hour, 3D AS delta_nox")
     got = {r.k: r.delta_nox for r in sequence.overlap_weighted(windows, hourly, ("k",)).collect()}
     assert got[1] != got[1] and got[2] == 3.0
+
+
+def test_few_clusters_and_lacking_classes_are_no_error_unless_strict(spark):
+    from plumeworks.operators import splits
+
+    counts = spark.createDataFrame([(1, 3, [1, 1, 1])], "cluster long, records long, counts array<long>")
+    assert [tuple(r) for r in splits.greedy_splits(counts, "cluster", strict=False).collect()] == [(1, "train")]
+    assert splits.greedy_splits(counts.limit(0), "cluster", strict=False).count() == 0
+    frame = spark.createDataFrame([("train", "a", 1, 0.0, 1.0), ("val", "a", 2, 0.0, 1.0), ("val", "b", 3, 0.0, 1.0)], "split string, label string, id long, innovation double, threshold double")
+    got = splits.balanced(frame, "label", ("a", "b"), ["id"], "a", strict=False).select("split", "id")
+    assert sorted(map(tuple, got.collect())) == [("val", 2), ("val", 3)]
