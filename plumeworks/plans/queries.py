@@ -62,6 +62,11 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aoi.membership(f, f.withColumnRenamed("facility_id", "aoi_id"))
 
 
+def sites(spark: SparkSession, sf_dir: str) -> aoi.Sites:
+    f = facilities(spark, sf_dir)
+    return aoi.sites(f, f.withColumnRenamed("facility_id", "aoi_id"))
+
+
 REC = """
 rec AS (SELECT user_id AS facility_id, event_id AS unit_id, ts, date_trunc('hour', ts)::TIMESTAMP AS hour, value AS nox_mass,
   CASE event_type WHEN 'error' THEN 'Invalid' WHEN 'signup' THEN ' Unavailable ' END AS flag,
@@ -87,7 +92,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY s, aoi_id) AS rank, count(*) OVER ()
 SELECT aoi_id, round(s, 6) AS active_median_nox, round(units, 6) AS active_mean_units, round(f, 6) AS emitting_fraction, rank AS score_rank, round(rank / n, 6) AS score_percentile
 FROM r WHERE place <= ceil(n * 0.5)""")
 def aoi_active_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = activity.operating_characteristics(records(spark, sf_dir), members(spark, sf_dir))
+    scores = activity.operating_characteristics(records(spark, sf_dir), sites(spark, sf_dir))
     return rounded(activity.top_share(activity.ranked_scores(scores), 0.5)).withColumn("score_rank", F.col("score_rank").cast("long"))
 
 
@@ -102,7 +107,7 @@ v AS (SELECT aoi_id, avg(heat_input) AS heat, avg(gross_load) AS load FROM j JOI
 SELECT aoi_id, num_units, num_coal_units, num_gas_units, round(avg(mass), 8) AS avg_coal_nox, round(any_value(heat), 8) AS avg_heat_input, round(any_value(load), 8) AS avg_gross_load
 FROM s JOIN n USING (aoi_id) JOIN v USING (aoi_id) GROUP BY ALL""")
 def activity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(activity.activity_features(records(spark, sf_dir), members(spark, sf_dir)), 8)
+    return rounded(activity.activity_features(records(spark, sf_dir), sites(spark, sf_dir)), 8)
 
 
 @query(f"WITH {REC} SELECT unit_id, flag, nox_mass FROM rec WHERE usable")
@@ -114,7 +119,7 @@ def usable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {REC}, {MEM}, j AS (SELECT * FROM rec JOIN mem USING (facility_id)), bad AS (SELECT DISTINCT aoi_id, hour FROM j WHERE NOT usable OR NOT isfinite(nox_mass))
 SELECT aoi_id, hour, round(sum(nox_mass), 6) AS nox_mass FROM j WHERE usable AND isfinite(nox_mass) AND (aoi_id, hour) NOT IN (SELECT (aoi_id, hour) FROM bad) GROUP BY ALL""")
 def invalid_hours_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(activity.clean_hours(records(spark, sf_dir), members(spark, sf_dir)))
+    return rounded(activity.clean_hours(records(spark, sf_dir), sites(spark, sf_dir)))
 
 
 @query(f"""
@@ -123,7 +128,7 @@ s AS (SELECT aoi_id, sum(mw) AS total_mw, max(mw) AS largest_mw FROM e GROUP BY
 n AS (SELECT aoi_id, count(DISTINCT facility_id) AS num_facilities, count(DISTINCT (facility_id, unit_id)) AS num_units FROM j GROUP BY 1)
 SELECT aoi_id, num_facilities, num_units, total_mw, largest_mw, round(CASE WHEN total_mw > 0 THEN largest_mw / total_mw END, 6) AS largest_share FROM n JOIN s USING (aoi_id)""")
 def facility_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(activity.static_characteristics(records(spark, sf_dir), members(spark, sf_dir)))
+    return rounded(activity.static_characteristics(records(spark, sf_dir), sites(spark, sf_dir)))
 
 
 # --- ingest ----------------------------------------------------------------------------------------

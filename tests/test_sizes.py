@@ -30,3 +30,28 @@ def test_few_clusters_and_lacking_classes_are_no_error_unless_strict(spark):
     frame = spark.createDataFrame([("train", "a", 1, 0.0, 1.0), ("val", "a", 2, 0.0, 1.0), ("val", "b", 3, 0.0, 1.0)], "split string, label string, id long, innovation double, threshold double")
     got = splits.balanced(frame, "label", ("a", "b"), ["id"], "a", strict=False).select("split", "id")
     assert sorted(map(tuple, got.collect())) == [("val", 2), ("val", 3)]
+
+
+def test_areas_of_a_place_share_sums_and_ranks(spark):
+    from plumeworks.operators import activity, aoi
+
+    spots = spark.range(40).select(F.col("id").alias("facility_id"), (F.col("id") % 4 * 1e6).alias("x"), F.lit(0.0).alias("y"))
+    sites = aoi.sites(spots, spots.withColumnRenamed("facility_id", "aoi_id"))
+    assert sites.reach.count() == 4
+    rows = spots.select("facility_id", F.col("facility_id").alias("unit_id"), F.lit(1.0).alias("op_time"), (F.col("facility_id") * 0.1).alias("nox_mass"), F.lit("h").alias("hour"), F.lit(None).cast("string").alias("flag"), F.lit("coal").alias("fuel"), F.lit(None).cast("string").alias("attribute_fuel"), F.lit(2.0).alias("heat_input"), F.lit(3.0).alias("gross_load"), F.col("facility_id").cast("double").alias("capacity_mw"))
+    pairs = aoi.membership(spots, spots.withColumnRenamed("facility_id", "aoi_id"))
+    assert pairs.count() == 400
+    for made in (activity.operating_characteristics, activity.activity_features, activity.static_characteristics, activity.clean_hours):
+        wanted = {r["aoi_id"]: r.asDict() for r in made(rows, pairs).collect()}
+        got = {r["aoi_id"]: r.asDict() for r in made(rows, sites).collect()}
+        assert {k: {c: round(v, 9) if isinstance(v, float) else v for c, v in r.items()} for k, r in got.items()} == {k: {c: round(v, 9) if isinstance(v, float) else v for c, v in r.items()} for k, r in wanted.items()}
+    scores = activity.operating_characteristics(rows, sites)
+    assert scores.select("active_median_nox").distinct().count() == 4
+
+
+def test_clusters_of_areas_that_share_places(spark):
+    from plumeworks.operators import aoi
+
+    rows = [(7, 0.0, 0.0), (3, 0.0, 0.0), (5, 60000.0, 0.0), (9, 60000.0, 0.0), (1, None, 0.0), (2, None, 0.0), (4, 1e7, 0.0)]
+    got = aoi.clusters(spark.createDataFrame(rows, "aoi_id long, x double, y double"))
+    assert {r.aoi_id: r.cluster for r in got.collect()} == {7: 3, 3: 3, 5: 3, 9: 3, 1: 1, 2: 2, 4: 4}
