@@ -22,14 +22,14 @@ def eligible(frame: DataFrame, steps: int = sequence.STEPS) -> DataFrame:
     return frame.filter(keep)
 
 
-def chosen_aois(records: DataFrame, membership: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+def chosen_aois(records: DataFrame, membership: DataFrame | aoi.Sites, share: float) -> tuple[DataFrame, DataFrame]:
     """aoi_id, aoi_score and aoi_score_percentile of the share of AOIs with the highest scores; and of all AOIs, with whether they have a score and are chosen."""
     scored = activity.operating_characteristics(records, membership)
     scored = scored.filter(finite(F.col("active_median_nox")) & (F.col("active_median_nox") >= 0))
     ranked = materialized(activity.ranked_scores(scored), "scores")
     name = {"active_median_nox": "aoi_score", "score_percentile": "aoi_score_percentile"}
     chosen = activity.top_share(ranked, share).withColumnsRenamed(name).select("aoi_id", *name.values())
-    audit = membership.select("aoi_id").distinct().join(ranked.withColumnsRenamed(name).select("aoi_id", *name.values()), "aoi_id", "left")
+    audit = aoi.as_sites(membership).all_areas().join(ranked.withColumnsRenamed(name).select("aoi_id", *name.values()), "aoi_id", "left")
     audit = audit.join(chosen.select("aoi_id", F.lit(True).alias("selected")), "aoi_id", "left").withColumns({"selected": F.coalesce("selected", F.lit(False)), "has_score": F.col("aoi_score").isNotNull()})
     return chosen, audit
 
@@ -43,9 +43,9 @@ def stratification_candidates(records: DataFrame, facilities: DataFrame, scans:
     of one in time.
     """
     aois = facilities.withColumnRenamed("facility_id", "aoi_id")
-    members = materialized(aoi.membership(facilities, aois), "members")
+    members = aoi.sites(facilities, aois)
     chosen = materialized(chosen_aois(records, members, share)[0], "chosen")
-    mine = materialized(members.join(chosen.select("aoi_id"), "aoi_id", "left_semi"), "chosen-members")
+    mine = members.chosen(chosen)
     places = aois.join(chosen, "aoi_id")
     static = aoi.city_distance(places.join(aoi.clusters(aois.join(chosen.select("aoi_id"), "aoi_id", "left_semi")), "aoi_id"), cities)
     static = static.drop("x", "y").join(activity.activity_features(records, mine), "aoi_id")
