@@ -107,11 +107,23 @@ def regridded(requests: DataFrame, pixels: DataFrame, sources: DataFrame, *, siz
     that need its source and that its bounds come near, where it meets a bounded number of areas. An area
     without pixels has a raster of empty cells.
     """
+    rasters, keys, errors = shared_rasters(requests, pixels, sources, size=size, cell=cell, max_cloud=max_cloud, good=good, tile=tile, areas=areas)
+    nothing = [F.lit(None).cast("array<double>").alias(c) for c in EMPTY]
+    return keys.join(rasters.withColumnRenamed("key", "first"), "first").drop("first").unionByName(errors.select("key", "error", *nothing))
+
+
+def shared_rasters(requests: DataFrame, pixels: DataFrame, sources: DataFrame, *, size: int = SIZE, cell: float = CELL, max_cloud: float = MAX_CLOUD, good: int = GOOD, tile: float = TILE, areas: int = AREAS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rasters, keys, errors) as in `regridded`, where requests of one centre and the same sources share a raster, that of the least key: keys has each request's key and this `first`."""
     half = size * cell / 2
     requests = requests.select("key", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "paths")
     errors = source_errors(requests, sources)
     place = lambda c: F.floor(F.col(c) / tile).cast("long")
-    ready = requests.join(errors.select("key"), "key", "left_anti").withColumns({"batch": F.sha2(F.to_json(F.array_sort("paths")), 256), "ti": place("x"), "tj": place("y")})
+    errors = materialized(errors, "request-errors")
+    one = ["x", "y", "_paths"]
+    asked = requests.join(errors.select("key"), "key", "left_anti").withColumn("_paths", F.array_sort("paths"))
+    firsts = materialized(asked.groupBy(*one).agg(F.min("key").alias("first")), "first-requests")
+    keys = asked.join(firsts, one).select("key", "first")
+    ready = firsts.select(F.col("first").alias("key"), "x", "y", F.col("_paths").alias("paths")).withColumns({"batch": F.sha2(F.to_json(F.array_sort("paths")), 256), "ti": place("x"), "tj": place("y")})
     square = ["batch", "ti", "tj"]
     counts = ready.groupBy(*square, "paths").agg(F.ceil(F.count("*") / areas).cast("int").alias("parts"))
     counts = counts.groupBy(*square).agg(F.sum("parts").cast("int").alias("parts"), F.min("paths").alias("paths"))
@@ -124,5 +136,4 @@ def regridded(requests: DataFrame, pixels: DataFrame, sources: DataFrame, *, siz
     by = [*square, "part"]
     fields = ("cx", "cy", "bx0", "bx1", "by0", "by1", "value", "cloud", "flag", "uncertainty")
     rasters = near.select(*by, *fields).groupBy(*by).cogroup(dealt.select(*by, "key", "x", "y").groupBy(*by)).applyInArrow(made(size, cell, max_cloud, good), RASTERS_DDL)
-    nothing = [F.lit(None).cast("array<double>").alias(c) for c in EMPTY]
-    return rasters.unionByName(errors.select("key", "error", *nothing))
+    return rasters, keys, errors
