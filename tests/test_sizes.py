@@ -55,3 +55,16 @@ def test_clusters_of_areas_that_share_places(spark):
     rows = [(7, 0.0, 0.0), (3, 0.0, 0.0), (5, 60000.0, 0.0), (9, 60000.0, 0.0), (1, None, 0.0), (2, None, 0.0), (4, 1e7, 0.0)]
     got = aoi.clusters(spark.createDataFrame(rows, "aoi_id long, x double, y double"))
     assert {r.aoi_id: r.cluster for r in got.collect()} == {7: 3, 3: 3, 5: 3, 9: 3, 1: 1, 2: 2, 4: 4}
+
+
+def test_boxes_and_scans_that_are_alike_are_tried_once(spark, monkeypatch):
+    from plumeworks.operators import mapping
+
+    seen = []
+    real = mapping._polygon_scans
+    monkeypatch.setattr(mapping, "_polygon_scans", lambda b, f, s: seen.append((b.count(), f.count())) or real(b, f, s))
+    boxes = spark.createDataFrame([(k, 0.2, 0.2, 0.8, 0.8) for k in range(5)], "aoi_id long, x0 double, y0 double, x1 double, y1 double")
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    prints = spark.createDataFrame([(s, f"g{s}", ring) for s in range(3)], "scan long, granule string, footprint array<struct<x: double, y: double>>")
+    got = sorted((r.aoi_id, r.scan, tuple(r.granules)) for r in mapping.polygon_scans(boxes, prints).collect())
+    assert got == [(a, s, (f"g{s}",)) for a in range(5) for s in range(3)] and seen == [(1, 1)]
