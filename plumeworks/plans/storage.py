@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def write_partitions(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None) -> None:
     """Zstd Parquet by partition columns; only the partitions that df has are replaced."""
-    rows = df.repartition(*columns)
-    rows = rows.sortWithinPartitions(*columns, *order) if order else rows
+    # A partition of any size is dealt out over tasks: by ranges of the order, or as much as the plan finds it large.
+    rows = df.repartitionByRange(*columns, *order).sortWithinPartitions(*columns, *order) if order else df.hint("rebalance", *columns)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*columns).parquet(path)
 
 
