@@ -96,7 +96,9 @@ def albers_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def aoi_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = geo.albers(F.col("lon"), F.col("lat"))
-    return customer_places(spark, sf_dir).select("aoi_id", *geo.box_bounds(x, y, aoi.HALF))
+    # A small file is one task's: rows are dealt out, as bounds cost far more than their row.
+    places = customer_places(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return places.select("aoi_id", *geo.box_bounds(x, y, aoi.HALF))
 
 
 @query("""
