@@ -40,7 +40,8 @@ def granule_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", corner(x, y), corner(x + 2, y), corner(x + 2, y + 1), corner(x, y)), F.lit("))"))
     number = lambda m, width: F.lpad((k % m).cast("string"), width, "0")
     off = F.when(k % 5 == 4, 0.5).otherwise(0.0005)
-    rows = table(spark, sf_dir, "customer").select(
+    # A small file is one task's: rows are dealt out, as a footprint costs far more than its row.
+    rows = table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism).select(
         k.alias("granule"), text.alias("bounds_text"), (x + off).alias("lon_min"), (x + 2.0).alias("lon_max"), y.cast("double").alias("lat_min"), (y + 1.0).alias("lat_max"),
         F.when(k % 3 == 0, (k % 30).cast("string")).alias("scan"), F.when(k % 3 == 0, (k % 9).cast("string")).otherwise("none").alias("part"), F.concat(F.lit("X_S"), number(30, 3), F.lit("G"), number(7, 2), F.lit(".nc")).alias("name"),
     )
