@@ -90,10 +90,15 @@ def aligned(requests: DataFrame, fields: DataFrame, grid: ConicGrid, *, size: in
     eastward, once each), u, v (along the grid's axes), t. Cells where the field lacks a neighbour, or all where its file isn't there, are NaN.
 
     A field's cells go to tiles, those of a border to the tiles on both sides, and points to the tile that
-    holds their four neighbours; a tile that very many areas share is sampled in parts.
+    holds their four neighbours; a tile that very many areas share is sampled in parts. Requests of the same file and centre are
+    sampled once.
     """
     clamp = lambda v, n: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(n - 1)))
     asked = requests.select("key", "path", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    one = ["path", "x", "y"]
+    firsts = materialized(asked.groupBy(*one).agg(F.min("key").alias("_first")), "weather-requests")
+    keys = asked.join(firsts, [asked[c].eqNullSafe(firsts[c]) for c in one]).select("key", "_first")
+    asked = firsts.select(F.col("_first").alias("key"), *one)
     points = cell_centres(asked, size, cell)
     fi, fj = grid.place(F.col("lon"), F.col("lat"))
     points = points.withColumns({"fi": clamp(fi, grid.rows), "fj": clamp(fj, grid.cols)})
@@ -110,7 +115,8 @@ def aligned(requests: DataFrame, fields: DataFrame, grid: ConicGrid, *, size: in
     key = [*by, "part"]
     found = cells.select(*key, "i", "j", "u", "v", "t").groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(sampled(tile), SAMPLED_DDL)
     east, north = geo.wind_to_north(F.col("u"), F.col("v"), F.col("lon"), grid.parallel, grid.lon_0)
-    return found.select("key", "cell", east.alias("u"), north.alias("v"), "t")
+    sampled_once = materialized(found.select(F.col("key").alias("_first"), "cell", east.alias("u"), north.alias("v"), "t"), "weather-cells")
+    return keys.join(sampled_once, "_first").drop("_first")
 
 
 def as_rasters(found: DataFrame, size: int = SIZE) -> DataFrame:

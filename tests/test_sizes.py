@@ -68,3 +68,16 @@ def test_boxes_and_scans_that_are_alike_are_tried_once(spark, monkeypatch):
     prints = spark.createDataFrame([(s, f"g{s}", ring) for s in range(3)], "scan long, granule string, footprint array<struct<x: double, y: double>>")
     got = sorted((r.aoi_id, r.scan, tuple(r.granules)) for r in mapping.polygon_scans(boxes, prints).collect())
     assert got == [(a, s, (f"g{s}",)) for a in range(5) for s in range(3)] and seen == [(1, 1)]
+
+
+def test_requests_of_one_centre_are_sampled_once(spark, monkeypatch):
+    from plumeworks.operators import weather
+
+    seen = []
+    real = weather.cell_centres
+    monkeypatch.setattr(weather, "cell_centres", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    grid = weather.ConicGrid.from_first_point(-96.6, 36.9, parallel=38.5, lon_0=-97.5, dx=14000.0, dy=13000.0, rows=4, cols=4)
+    requests = spark.createDataFrame([("a", 1, 0.0, 1.6e6), ("b", 1, 0.0, 1.6e6)], "key string, path long, x double, y double")
+    fields = spark.range(16).selectExpr("1L AS path", "id div 4 AS i", "id % 4 AS j", "1D AS u", "2D AS v", "3D AS t")
+    rows = weather.aligned(requests, fields, grid, size=2).collect()
+    assert seen == [1] and sorted((r.key, r.cell) for r in rows) == [(k, c) for k in "ab" for c in range(4)]
