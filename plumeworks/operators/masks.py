@@ -43,9 +43,9 @@ def neighbours(rows: int, cols: int) -> np.ndarray:
 
 
 def drawn(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """A column of each row by its weights: the first whose share of the running sum is above u."""
-    total = (weights / weights.sum(axis=1, keepdims=True)).cumsum(axis=1)
-    return (total / total[:, -1:] <= u[:, None]).sum(axis=1)
+    """A column of each row by its weights: the first whose running sum is above u times the row's sum."""
+    total = weights.cumsum(axis=1)
+    return (total > total[:, -1:] * u[:, None]).argmax(axis=1)
 
 
 def grown(identifiers: Sequence[str], seed: int, rows: int, cols: int) -> np.ndarray:
@@ -59,45 +59,58 @@ def grown(identifiers: Sequence[str], seed: int, rows: int, cols: int) -> np.nda
     """
     n, size = len(identifiers), rows * cols
     edge, around = edge_weights(rows, cols), neighbours(rows, cols)
+    edge, around = np.append(edge, 0.0), np.vstack((around, np.full(8, size)))
     left, draws = np.zeros(n, int), []
     for i, x in enumerate(identifiers):
         rng = stream(x, seed)
         left[i] = max(1, round(rng.uniform(*HIDDEN) * size))
         draws.append(rng.random(2 * left[i]))
-    numbers = np.zeros((n, 2 * left.max(initial=0)))
-    for i, d in enumerate(draws):
-        numbers[i, : len(d)] = d
-    # One column more takes what falls outside the raster.
-    hidden, beside = np.zeros((n, size + 1), bool), np.zeros((n, size + 1))
+    # Masks with more cells to hide come first, so that those at work are always the first ones.
+    order = np.argsort(-left, kind="stable")
+    most = int(left.max(initial=0))
+    numbers = np.zeros((n, 2 * most))
+    for i, k in enumerate(order.tolist()):
+        numbers[i, : len(draws[k])] = draws[k]
+    working = n - np.searchsorted(np.sort(left), np.arange(most), side="right")
+    # One cell more takes what falls outside the raster. A border cell keeps its place after it is hidden, with weight 0.
+    hidden, beside, place = np.zeros((n, size + 1), bool), np.zeros((n, size + 1), np.int32), np.zeros((n, size + 1), np.int32)
     hidden[:, size] = True
-    border, met, waiting, used = np.full((n, size), size), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
-    while (at := np.flatnonzero(left)).size:
-        near = waiting[at] > 0
-        near[near] = numbers[at[near], used[at[near]]] < BORDER
-        used[at] += waiting[at] > 0
-        u = numbers[at, used[at]]
-        used[at] += 1
-        cell = np.zeros(len(at), int)
-        if near.any():
-            who = at[near][:, None]
-            cells = border[at[near], : met[at[near]].max()]
-            weight = np.where(hidden[who, cells], 0.0, np.append(edge, 0.0)[cells] * (1.0 + beside[who, cells]) ** 2)
-            cell[near] = cells[np.arange(len(cells)), drawn(weight, u[near])]
-        if not near.all():
-            cell[~near] = drawn(edge * ~hidden[at[~near], :size], u[~near])
-        waiting[at] -= beside[at, cell] > 0
+    cells, weight = np.zeros((n, size), np.int32), np.zeros((n, size))
+    met, waiting, used = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
+    for k in working.tolist():
+        at = np.arange(k)
+        near = waiting[:k] > 0
+        used_before = used[:k].copy()
+        used[:k] += near
+        near &= numbers[at, used_before] < BORDER
+        u = numbers[at, used[:k]]
+        used[:k] += 1
+        far = np.flatnonzero(~near)
+        cell = np.zeros(k, int)
+        if len(far) < k:
+            cell = cells[at, drawn(weight[:k, : met[:k].max()], u)]
+        if len(far):
+            cell[far] = drawn(edge[:size] * ~hidden[far, :size], u[far])
+        known = beside[at, cell] > 0
+        waiting[:k] -= known
+        weight[at[known], place[at[known], cell[known]]] = 0.0
         hidden[at, cell] = True
-        left[at] -= 1
-        for k in range(8):
-            other = around[cell, k]
-            seen = ~hidden[at, other]
-            who, other = at[seen], other[seen]
-            new = beside[who, other] == 0
-            beside[who, other] += 1
-            border[who[new], met[who[new]]] = other[new]
-            met[who[new]] += 1
-            waiting[who[new]] += 1
-    return (~hidden[:, :size]).astype(np.int32)
+        other = around[cell]
+        row, col = np.nonzero(~hidden[at[:, None], other])
+        other = other[row, col]
+        count = beside[row, other] + 1
+        beside[row, other] = count
+        new = count == 1
+        fresh, first = row[new], other[new]
+        n_new = np.bincount(fresh, minlength=k)
+        to = met[fresh] + np.arange(len(fresh)) - (n_new.cumsum() - n_new)[fresh]
+        place[fresh, first], cells[fresh, to] = to, first
+        met[:k] += n_new
+        waiting[:k] += n_new
+        weight[row, place[row, other]] = edge[other] * (1.0 + count) ** 2
+    visible = np.empty((n, size), np.int32)
+    visible[order] = ~hidden[:, :size]
+    return visible
 
 
 def visible_mask(identifier: Column, seed: int, rows: int, cols: int) -> Column:
