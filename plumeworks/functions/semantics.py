@@ -19,6 +19,17 @@ def sum0(x: Column, where: Column | None = None) -> Column:
     return F.coalesce(F.sum(x if where is None else F.when(where, x)), F.lit(0.0))
 
 
+def decimals(x: Column) -> Column:
+    """A number as the decimal that it is written as; null if this has more than 18 places or 20 digits before them."""
+    d = x.try_cast("decimal(38, 18)")
+    return F.when(d.cast("double") == x, d)
+
+
+def sum_decimals(parts: Column, sums: Column) -> Column:
+    """The sum of `parts` (decimals) as a double, the same in any order and for any terms that add up to as much; where one is null, or they overflow, that of `sums`, their doubles."""
+    return F.coalesce(F.when(F.count(parts) == F.count(sums), F.try_sum(parts)).cast("double"), F.sum(sums), F.lit(0.0))
+
+
 def any0(x: Column) -> Column:
     """Whether any is true; nulls don't count, and of no rows it is false."""
     return F.coalesce(F.bool_or(x), F.lit(False))

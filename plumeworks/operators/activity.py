@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import any0, finite, sum0
+from ..functions.semantics import any0, decimals, finite, sum0, sum_decimals
 from ..tables import materialized
 from . import aoi
 
@@ -26,13 +26,18 @@ def fuel_flags() -> tuple[Column, Column]:
 
 
 def positive_hours(records: DataFrame, members: aoi.Sites, mass: Column, units: bool) -> DataFrame:
-    """Site hours with the mean operating time, the operating units and the mass that qualifies. Places' hours are summed before they meet their sites."""
+    """Site hours with the mean operating time, the operating units and the mass that qualifies. Places' hours are summed before they meet their sites.
+
+    Masses are summed as decimals, so that sites with as much are equal, and ranked by id, whatever the order of their records.
+    """
     qualifies = mass & usable(F.col("flag")) & finite(F.col("nox_mass")) & (F.col("nox_mass") >= 0)
     rows = members.at_home(records.filter(finite(F.col("op_time")) & (F.col("op_time") >= 0)))
     running = [F.count_if(F.col("op_time") > 0).alias("operating_units")] if units else []
-    each = rows.groupBy("place", "hour").agg(F.sum("op_time").alias("_t"), F.count("*").alias("_n"), sum0(F.col("nox_mass"), qualifies).alias("mass"), *running)
+    rows = rows.withColumn("_mass", F.when(qualifies, F.col("nox_mass"))).withColumn("_exact", decimals(F.col("_mass")))
+    exact = F.when(F.count("_exact") == F.count("_mass"), F.coalesce(F.try_sum("_exact"), F.when(F.count("_mass") == 0, F.lit(0).cast("decimal(38, 18)"))))
+    each = rows.groupBy("place", "hour").agg(F.sum("op_time").alias("_t"), F.count("*").alias("_n"), exact.alias("_exact"), sum0(F.col("_mass")).alias("_mass"), *running)
     sums = [F.sum("operating_units").alias("operating_units")] if units else []
-    return each.join(members.reach, "place").groupBy("site", "hour").agg((F.sum("_t") / F.sum("_n")).alias("mean_op_time"), F.sum("mass").alias("mass"), *sums)
+    return each.join(members.reach, "place").groupBy("site", "hour").agg((F.sum("_t") / F.sum("_n")).alias("mean_op_time"), sum_decimals(F.col("_exact"), F.col("_mass")).alias("mass"), *sums)
 
 
 def active_hours(hours: DataFrame) -> DataFrame:

@@ -81,3 +81,19 @@ def test_requests_of_one_centre_are_sampled_once(spark, monkeypatch):
     fields = spark.range(16).selectExpr("1L AS path", "id div 4 AS i", "id % 4 AS j", "1D AS u", "2D AS v", "3D AS t")
     rows = weather.aligned(requests, fields, grid, size=2).collect()
     assert seen == [1] and sorted((r.key, r.cell) for r in rows) == [(k, c) for k in "ab" for c in range(4)]
+
+
+def test_areas_of_equal_mass_rank_by_id(spark):
+    import datetime as dt
+
+    from plumeworks.operators import activity
+
+    hour = dt.datetime(2024, 1, 1)
+    parts = {1: [0.1, 0.2], 2: [0.3], 3: [0.29], 4: [1e25, 1.0], 5: [1e-20]}
+    rows = [(i, k, hour, 1.0, x, None) for i, xs in parts.items() for k, x in enumerate(xs)]
+    rows = spark.createDataFrame(rows, "facility_id long, unit_id long, hour timestamp, op_time double, nox_mass double, flag string")
+    members = spark.createDataFrame([(i, i) for i in parts], "aoi_id long, facility_id long")
+    got = {r["aoi_id"]: r for r in activity.ranked_scores(activity.operating_characteristics(rows, members)).collect()}
+    assert [got[i]["active_median_nox"] for i in parts] == [0.3, 0.3, 0.29, 1e25 + 1.0, 1e-20]
+    assert [got[i]["score_rank"] for i in parts] == [3, 4, 2, 5, 1]
+    assert all(r["emitting_fraction"] == 1.0 for r in got.values())
