@@ -97,3 +97,13 @@ def test_areas_of_equal_mass_rank_by_id(spark):
     assert [got[i]["active_median_nox"] for i in parts] == [0.3, 0.3, 0.29, 1e25 + 1.0, 1e-20]
     assert [got[i]["score_rank"] for i in parts] == [3, 4, 2, 5, 1]
     assert all(r["emitting_fraction"] == 1.0 for r in got.values())
+
+
+def test_observations_are_of_all_pixels(spark):
+    from plumeworks.operators import mapping
+
+    pixels = [(g, g % 3, g % 3 * 10.0, 0.1 * g, 0.5) for g in range(8)]
+    boxes = spark.createDataFrame([(k, 0.0, 0.65, 0.0, 1.0) for k in (1, 2)], "aoi_id long, lon_min double, lon_max double, lat_min double, lat_max double")
+    got = mapping.all_observations(spark.createDataFrame(pixels, "granule long, step long, step_time double, lon double, lat double"), boxes).collect()
+    assert sorted((r["aoi_id"], r["sampled_pixels"], round(r["observed_at"], 9)) for r in got) == [(k, 7, round(60 / 7, 9)) for k in (1, 2)]
+    assert all([s["granule"] for s in r["steps"]] == list(range(7)) for r in got)
