@@ -107,3 +107,16 @@ def test_observations_are_of_all_pixels(spark):
     got = mapping.all_observations(spark.createDataFrame(pixels, "granule long, step long, step_time double, lon double, lat double"), boxes).collect()
     assert sorted((r["aoi_id"], r["sampled_pixels"], round(r["observed_at"], 9)) for r in got) == [(k, 7, round(60 / 7, 9)) for k in (1, 2)]
     assert all([s["granule"] for s in r["steps"]] == list(range(7)) for r in got)
+
+
+def test_boxes_that_scans_cover_are_paired_without_a_shuffle_of_the_pairs(spark, monkeypatch):
+    from plumeworks.operators import mapping
+
+    monkeypatch.setattr(mapping, "PACK", 3, raising=False)
+    boxes = spark.createDataFrame([(k, 0.2, 0.2, 0.8, 0.8) for k in range(9)], "aoi_id long, x0 double, y0 double, x1 double, y1 double")
+    halves = {"w": [(0.0, 0.0), (0.5, 0.0), (0.5, 1.0), (0.0, 1.0)], "e": [(0.5, 0.0), (1.0, 0.0), (1.0, 1.0), (0.5, 1.0)]}
+    prints = [(s, f"{k}{s}", ring) for s in range(20) for k, ring in halves.items()] + [(99, "w99", halves["w"])]
+    got = mapping.polygon_scans(boxes, spark.createDataFrame(prints, "scan long, granule string, footprint array<struct<x: double, y: double>>"))
+    assert sorted((r.aoi_id, r.scan, tuple(r.granules)) for r in got.collect()) == [(a, s, (f"e{s}", f"w{s}")) for a in range(9) for s in range(20)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate explode(scans" in plan[: plan.index("Join")]
